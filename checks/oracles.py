@@ -211,8 +211,8 @@ def aggregates(compat: bool) -> dict[str, str]:
         "first_person_pronouns": f"count(*) FILTER (pos = 'PRON' AND {first})",
         "third_person_pronouns": f"count(*) FILTER (pos = 'PRON' AND NOT {first})",
         "avg_syllables_per_word": share("sum(syllables) FILTER (pos <> 'PUNCT')", SPOKEN),
-        "avg_word_frequency_log": share("sum(zipf) FILTER (pos <> 'PUNCT')", SPOKEN),
-        "avg_content_word_frequency_log": share(f"sum(zipf) FILTER (pos IN {freq})", SPOKEN),
+        "avg_word_frequency_log": share("round(sum(zipf) FILTER (pos <> 'PUNCT'), 2)", SPOKEN),
+        "avg_content_word_frequency_log": share(f"round(sum(zipf) FILTER (pos IN {freq}), 2)", SPOKEN),
         "word_count": "count(*)",
         "connectives_total": "0" if compat else " + ".join(map(connective_count, W.CONNECTIVES)),
         "function_to_content_ratio": "0.0" if compat else share(
@@ -309,9 +309,14 @@ def with_features(body: str, compat: bool = False, *more: str) -> str:
     return f"WITH RECURSIVE {', '.join(ctes)} {body}"
 
 
+def nudged(value: str) -> str:
+    """As on the Spark side: the engines round halves of inexact decimals differently."""
+    return f"round({value} + 1e-9, 6)"
+
+
 def stat(feature: str, kind: str) -> str:
     made = {"avg": "avg", "sd": "stddev_pop", "min": "min", "max": "max"}[kind]
-    return f"round(coalesce({made}(f.{feature}::DOUBLE), 0), 6)"
+    return nudged(f"coalesce({made}(f.{feature}::DOUBLE), 0)")
 
 
 def sentence_query(*names: str, integers: bool = False) -> str:
@@ -420,7 +425,7 @@ def ruleset_sql() -> str:
 
 def aggregate_query(*names: str, ints: bool = True, joins: str = "", ctes: tuple[str, ...] = ()) -> str:
     made = aggregates(False)
-    cols = ", ".join(f"({made[n]})::BIGINT AS {n}" if ints else f"round({made[n]}, 6) AS {n}"
+    cols = ", ".join(f"({made[n]})::BIGINT AS {n}" if ints else f"{nudged(made[n])} AS {n}"
                      for n in names)
     return annotated(f"SELECT doc_id, sent_id, {cols} FROM ann a {joins} GROUP BY doc_id, sent_id", *ctes)
 
@@ -519,26 +524,26 @@ def all_sql() -> dict[str, str]:
         "profile_wide": profile_sql(),
         "profile_stats": stats_sql(),
         "feature_vector": with_features(
-            f"SELECT doc_id, idx, round(value, 6) AS value FROM ({unpivot('kept', 'value')})", True,
+            f"SELECT doc_id, idx, {nudged('value')} AS value FROM ({unpivot('kept', 'value')})", True,
             MEANS, "kept AS MATERIALIZED (SELECT * FROM means)"),
         "training_pairs": with_features(
             "SELECT m.doc_id, round(l.quality::DOUBLE, 6) AS label, "
-            + ", ".join(f"round(m.{f}, 6) AS {f}" for f in W.FEATURES)
+            + ", ".join(f"{nudged(f'm.{f}')} AS {f}" for f in W.FEATURES)
             + " FROM means m JOIN labels l USING (doc_id)", False, MEANS),
         "score_linear": with_features(f"SELECT doc_id, round({SCORE}, 6) AS score FROM means", True, MEANS),
         "sentence_scores": sentence_scores_sql(),
         "weights_load": with_features(
-            "SELECT idx, feature, round(coefficient, 6) AS coefficient, "
-            f"round({W.SAVED_INTERCEPT!r}, 6) AS intercept, round(corpus_mean, 6) AS corpus_mean, "
-            "round(coefficient * corpus_mean, 6) AS contribution FROM (SELECT idx, feature, "
-            f"{[*W.SAVED_COEFFICIENTS]}::DOUBLE[][idx + 1] AS coefficient, value AS corpus_mean "
+            "SELECT idx, feature, round(coefficient, 6) + 0 AS coefficient, "
+            f"round({W.SAVED_INTERCEPT!r}::DOUBLE, 6) AS intercept, round(corpus_mean, 6) AS corpus_mean, "
+            "round(coefficient * corpus_mean, 6) + 0 AS contribution FROM (SELECT idx, feature, "
+            f"list_extract({[*W.SAVED_COEFFICIENTS]}::DOUBLE[], idx + 1) AS coefficient, value AS corpus_mean "
             f"FROM ({unpivot('kept', 'value')}))", True, MEANS,
             "kept AS MATERIALIZED (SELECT "
             + ", ".join(f"avg({f}) AS {f}" for f in W.FEATURES) + " FROM means)"),
         "attributions": with_features(
             f"SELECT feature, round(avg(abs(value)), 6) AS importance FROM ("
             + unpivot("kept", "value", "({f} - (SELECT avg({f}) FROM kept)) * "
-                      f"{[*W.SAVED_COEFFICIENTS]}::DOUBLE[][{{i}} + 1]")
+                      f"list_extract({[*W.SAVED_COEFFICIENTS]}::DOUBLE[], {{i}} + 1)")
             + ") GROUP BY feature", True, MEANS, "kept AS MATERIALIZED (SELECT * FROM means)"),
         "score_card": with_features(
             f"SELECT doc_id, round({SCORE}, 6) AS custom, round({formula('flesch_ease')}, 6) AS "

@@ -29,6 +29,12 @@ def r6(*names: str) -> list[Column]:
     return [F.round(F.col(n).cast("double"), 6).alias(n) for n in names]
 
 
+def nudged(*names: str) -> list[Column]:
+    """As r6, but off exact halves: the engines round halves of inexact decimals (sums of
+    two-decimal frequencies over a count) differently."""
+    return [F.round(F.col(n).cast("double") + 1e-9, 6).alias(n) for n in names]
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
     return spread(read_table(spark, sf, "documents").select("doc_id", "text"))
 
@@ -247,7 +253,7 @@ def per_sentence(aggregates: Callable[[], dict[str, Column]], spark: SparkSessio
     made = aggregates()
     rows = word_rows(spark, sf).groupBy(*ROW).agg(*[c.alias(n) for n, c in made.items()])
     double = {n for n, t in rows.dtypes if t == "double"}
-    return rows.select(*ROW, *[F.round(n, 6).alias(n) if n in double else F.col(n) for n in made])
+    return rows.select(*ROW, *[nudged(n)[0] if n in double else F.col(n) for n in made])
 
 
 def surface_connectives(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,7 +269,7 @@ def surface_phrases(spark: SparkSession, sf: str) -> DataFrame:
 def function_content_ratio(spark: SparkSession, sf: str) -> DataFrame:
     rows = per_sentence(surface.word_kinds, spark, sf)
     return rows.withColumn("function_to_content_ratio", surface.function_content_ratio()).select(
-        *ROW, *r6("function_to_content_ratio"))
+        *ROW, *nudged("function_to_content_ratio"))
 
 
 def with_lexicon(known: Callable[[], dict[str, Column]], spark: SparkSession, sf: str,
@@ -271,7 +277,7 @@ def with_lexicon(known: Callable[[], dict[str, Column]], spark: SparkSession, sf
     table = {"zipf": zipf, "norms": norms}[use](spark, sf)
     rows = lexical.with_lexicons(word_rows(spark, sf), ["doc_id"], **{use: table})
     made = known()
-    return rows.groupBy(*ROW).agg(*[c.alias(n) for n, c in made.items()]).select(*ROW, *r6(*made))
+    return rows.groupBy(*ROW).agg(*[c.alias(n) for n, c in made.items()]).select(*ROW, *nudged(*made))
 
 
 def features(spark: SparkSession, sf: str, *names: str, semantic: bool = False) -> DataFrame:
@@ -327,13 +333,13 @@ def cosine_all_previous(spark: SparkSession, sf: str) -> DataFrame:
 def profile_wide(spark: SparkSession, sf: str) -> DataFrame:
     flat = profile.profile_flat(profile.sentence_features(
         docs(spark, sf), zipf=zipf(spark, sf), norms=norms(spark, sf)))
-    return flat.select("doc_id", *r6(*[c for c in flat.columns if c != "doc_id"]))
+    return flat.select("doc_id", *nudged(*[c for c in flat.columns if c != "doc_id"]))
 
 
 def profile_stats(spark: SparkSession, sf: str) -> DataFrame:
     flat = profile.profile_flat(profile.sentence_features(
         docs(spark, sf), zipf=zipf(spark, sf), norms=norms(spark, sf)))
-    return profile.profile_long(flat).select("doc_id", "feature", *r6(*profile.STATS))
+    return profile.profile_long(flat).select("doc_id", "feature", *nudged(*profile.STATS))
 
 
 @once
@@ -349,7 +355,7 @@ def means(spark: SparkSession, sf: str, compat: bool) -> DataFrame:
 def feature_vector(spark: SparkSession, sf: str) -> DataFrame:
     vectors = model.feature_vector(means(spark, sf, compat=True))
     return vectors.select("doc_id", F.posexplode("features").alias("idx", "value")).select(
-        "doc_id", "idx", *r6("value"))
+        "doc_id", "idx", *nudged("value"))
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
@@ -358,7 +364,7 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return pairs(spark, sf).select("doc_id", *r6("label", *W.FEATURES))
+    return pairs(spark, sf).select("doc_id", *r6("label"), *nudged(*W.FEATURES))
 
 
 def train_gbt(spark: SparkSession, sf: str) -> DataFrame:

@@ -62,15 +62,20 @@ def frequency_means(known: bool = True) -> dict[str, Column]:
     """Mean Zipf frequency; unknown words count as 0.
 
     The content-word sum is divided by all spoken tokens, not by content words.
+    Frequencies have two decimals, so sums are rounded to two: the result then does
+    not depend on the order in which rows are added.
     """
     if not known:
         return {"avg_word_frequency_log": F.first(F.lit(0.0)),
                 "avg_content_word_frequency_log": F.first(F.lit(0.0))}
     content = rules.one_of(F.col("pos"), W.FREQUENCY_POS)
     n = F.count_if(spoken())
-    return {"avg_word_frequency_log": rules.ratio(F.sum(F.when(spoken(), F.col("zipf"))), n),
-            "avg_content_word_frequency_log": rules.ratio(
-                F.sum(F.when(content, F.col("zipf"))), n)}
+
+    def total(test: Column) -> Column:
+        return F.round(F.sum(F.when(test, F.col("zipf"))), 2)
+
+    return {"avg_word_frequency_log": rules.ratio(total(spoken()), n),
+            "avg_content_word_frequency_log": rules.ratio(total(content), n)}
 
 
 def norm_means(known: bool = True) -> dict[str, Column]:
