@@ -25,7 +25,7 @@ DEP_BY_POS = {"DET": "det", "ADP": "prep", "ADJ": "amod", "NUM": "nummod", "CCON
               "SCONJ": "mark", "AUX": "aux", "ADV": "advmod", "PART": "aux", "PUNCT": "punct",
               "VERB": "advcl"}
 WORD_COLUMNS = ["tok_idx", "text", "lower", "base", "lemma", "pos", "is_alpha", "syllables", "tense",
-                "aspect", "flag"]
+                "aspect", "flag", "label"]
 TABLE_COLUMNS = ["tok_idx", "text", "lemma", "pos", "dep", "head_idx", "is_alpha", "tense",
                  "aspect", "syllables"]
 
@@ -39,11 +39,15 @@ def word_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
     sentence; its entry is put on every token row of the sentence.
     """
     keys = list(keys)
-    parts = F.posexplode_outer(sentence_array(F.col(text)))
     more = [] if extra is None else [extra]
-    rows = docs.select(*keys, *more, parts.alias("sent_id", "sentence"))
-    if extra is not None:
-        rows = rows.withColumn(extra, F.get(extra, F.col("sent_id")))
+    if extra is None:
+        rows = docs.select(*keys, F.posexplode_outer(sentence_array(F.col(text))).alias(
+            "sent_id", "sentence"))
+    else:
+        both = F.arrays_zip(sentence_array(F.col(text)).alias("sentence"), F.col(extra))
+        rows = docs.select(*keys, F.posexplode_outer(both).alias("sent_id", "s"))
+        rows = rows.select(*keys, "sent_id", F.col("s.sentence").alias("sentence"),
+                           F.col(f"s.{extra}").alias(extra))
     rows = rows.select(
         *keys, "sent_id", *more, F.length("sentence").alias("n_chars"),
         F.posexplode_outer(token_array(F.col("sentence"))).alias("tok_idx", "text"))
@@ -81,6 +85,7 @@ def word_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
         return F.when(test, value).otherwise(0)
 
     ed, ing = F.col("_ed"), F.col("_ing")
+    labels = F.create_map(*[F.lit(x) for pair in DEP_BY_POS.items() for x in pair])
     return rows.select(
         *keys, "sent_id", *more, "n_chars", "tok_idx", "text", "lower", "base",
         F.when(pos == "PROPN", word).otherwise(F.col("base")).alias("lemma"), "pos", "is_alpha",
@@ -90,7 +95,8 @@ def word_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
         (F.coalesce("listed_flag", F.lit(0)) + bit(ed | F.col("_en"), rules.PARTICIPLE)
          + bit(rules.one_of(pos, rules.NOMINAL_POS), rules.NOMINAL)
          + bit(rules.one_of(pos, rules.FORWARD_POS), rules.FORWARD)
-         + bit(ed, rules.ED)).alias("flag"))
+         + bit(ed, rules.ED)).alias("flag"),
+        F.coalesce(F.try_element_at(labels, pos), F.lit("dep")).alias("label"))
 
 
 def gather(tokens: DataFrame, keys: Sequence[str], fields: Sequence[str],
@@ -125,42 +131,52 @@ def relate(rows: DataFrame) -> DataFrame:
         p, p - F.coalesce(F.get(F.col("_nominal"), k - 1), F.lit(-1))))
     rows = rows.select(*others, "_flag", "_root", F.flatten(runs).alias("_next"),
                        F.get(before, F.array_size(before) - 1).alias("_subject"))
+    # The optimizer moves an expression that is used once to its place of use, also
+    # into a lambda, where it would run per token.  Hence positions are written
+    # into the label array from outside, and the head lambda names each column twice.
     flag, root, following = F.col("_flag"), F.col("_root"), F.col("_next")
 
     def flagged(i: Column, bit: int) -> Column:
-        return F.coalesce(rules.has(F.get(flag, i), bit), F.lit(False))
+        return F.coalesce(rules.has(F.get("tok", i)["flag"], bit), F.lit(False))
 
     def helper(f: Column, i: Column) -> Column:
         return rules.has(f, rules.BE) & flagged(i + 1, rules.PARTICIPLE)
 
+    passive = flagged(root - 1, rules.BE) & flagged(root, rules.PARTICIPLE)
     rows = rows.select(
         *others, "_flag", "_root", "_next", "_subject",
         F.get(following, root + 1).alias("_object"),
-        (flagged(root - 1, rules.BE) & flagged(root, rules.PARTICIPLE)).alias("_passive"))
-
-    def label(t: Column, i: Column) -> Column:
-        dep = (F.when(i == root, "ROOT").when(rules.has(t["flag"], rules.NEGATION), "neg")
-               .when(helper(t["flag"], i), "auxpass")
-               .when(i == F.col("_subject"),
-                     F.when(F.col("_passive"), "nsubjpass").otherwise("nsubj"))
-               .when(i == F.col("_object"), "dobj"))
-        for tag, name in DEP_BY_POS.items():
-            dep = dep.when(t["pos"] == tag, name)
-        return dep.otherwise("dep")
+        F.when(passive, "nsubjpass").otherwise("nsubj").alias("_as"),
+        F.transform("tok", lambda t, i: F.when(rules.has(t["flag"], rules.NEGATION), "neg")
+                    .when(helper(t["flag"], i), "auxpass").otherwise(t["label"])).alias("_dep"))
+
+    def put(name: str, at: str, value: Column) -> DataFrame:
+        """Writes ``value`` at a position, unless it is null or holds neg or auxpass."""
+        array, i = F.col(name), F.col(at)
+        written = F.concat(F.slice(array, F.lit(1), i), F.array(value),
+                           F.slice(array, i + 2, F.array_size(array)))
+        taken = i.isNull() | rules.one_of(F.get(array, i), ["neg", "auxpass"])
+        return rows.withColumn(name, F.when(taken, array).otherwise(written))
+
+    rows = put("_dep", "_object", F.lit("dobj"))
+    rows = put("_dep", "_subject", F.col("_as"))
+    written = F.concat(F.slice("_dep", F.lit(1), root), F.array(F.lit("ROOT")),
+                       F.slice("_dep", root + 2, F.array_size("_dep")))
 
     def head(f: Column, i: Column) -> Column:
         return (F.when(i == root, F.lit(None).cast("int"))
                 .when(rules.has(f, rules.NEGATION), root).when(helper(f, i), i + 1)
-                .when(rules.has(f, rules.FORWARD), F.coalesce(F.get(following, i + 1), root))
+                .when(rules.has(f, rules.FORWARD) & (i + 1 < F.array_size(following)),
+                      F.get(following, i + 1))
                 .otherwise(root))
 
     def aspect(t: Column, i: Column) -> Column:
         perfect = rules.has(t["flag"], rules.ED) & flagged(i - 1, rules.HAVE)
-        return F.coalesce(t["aspect"], F.when(perfect, "Perf"))
+        return F.when(t["aspect"].isNotNull(), t["aspect"]).when(perfect, "Perf")
 
-    return rows.select(*others, F.transform("tok", label).alias("dep"),
-                       F.transform(flag, head).alias("head"),
-                       F.transform("tok", aspect).alias("aspect"))
+    return rows.select(
+        *others, F.when(F.array_size("tok") > 0, written).otherwise(F.col("_dep")).alias("dep"),
+        F.transform(flag, head).alias("head"), F.transform("tok", aspect).alias("aspect"))
 
 
 def token_table(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text"

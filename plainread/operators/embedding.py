@@ -53,33 +53,43 @@ def document_similarity(sents: Column, idf: Sequence[float] | None = None,
     return similarity(F.flatten(buckets), F.transform(buckets, F.array_size))
 
 
-def fit_idf(buckets: DataFrame, n_sentences: Column) -> DataFrame:
-    """(bucket, idf) = ln((n+1)/(df+1)); at most ``width`` rows by construction."""
-    df = buckets.groupBy("bucket").agg(F.count("*").alias("df"))
-    return df.select("bucket", F.log((n_sentences + 1) / (F.col("df") + 1)).alias("idf"))
+def fit_idf(buckets: DataFrame, width: int = W.EMBEDDING_WIDTH) -> Column:
+    """array<double> of ``width`` values ln((n+1)/(df+1)), as a scalar subquery.
+
+    ``buckets`` holds one array per sentence; counting is reduced to ``width`` rows
+    before they meet.
+    """
+    n = buckets.select(F.count("*").alias("n")).scalar()
+    df = (buckets.select(F.explode(F.array_distinct("buckets")).alias("bucket"))
+          .groupBy("bucket").agg(F.count("*").alias("df")))
+    found = df.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "df"))).alias("df"))
+    each = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.log(
+        (F.col("n") + 1.0) / (F.coalesce(F.try_element_at(F.col("df"), b), F.lit(0)) + 1.0)))
+    return found.withColumn("n", n).select(each.alias("idf")).scalar()
 
 
 def hashed_embedding(sentences: DataFrame, keys: Sequence[str] = ("doc_id",),
                      width: int = W.EMBEDDING_WIDTH) -> DataFrame:
     """(keys, sent_id, embedding): dense TF-IDF vectors of the hashed words.
 
-    The buckets of one sentence (at most ``width``) are gathered into a map and
-    laid out densely; idf is a table of at most ``width`` rows, so it is broadcast.
+    Apart from fitting idf this is a projection of the sentence row: the sorted
+    distinct buckets are laid out with runs of zeros between them.
     """
-    keys = [*keys, "sent_id"]
-    cells = (sentences.select(*keys, F.explode_outer(
-                sentence_buckets(F.col("text"), width)).alias("bucket"))
-             .groupBy(*keys, "bucket").agg(F.count("*").alias("tf")))
-    total = sentences.select(F.count("*").alias("n")).scalar()
-    idf = fit_idf(cells.filter(F.col("bucket").isNotNull()), total)
-    weighted = cells.join(F.broadcast(idf), "bucket", "left")
-    known = F.when(F.col("bucket").isNotNull(),
-                   F.struct("bucket", (F.col("tf") * F.col("idf")).alias("v")))
-    rows = weighted.groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(known)).alias("cells"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.coalesce(
-        F.try_element_at(F.col("cells"), b), F.lit(0.0)))
-    return rows.select(*keys, dense.alias("embedding"))
+    rows = sentences.select(*keys, "sent_id",
+                            sentence_buckets(F.col("text"), width).alias("buckets"))
+    rows = rows.withColumn("idf", fit_idf(rows.select("buckets"), width))
+    rows = rows.withColumn("cells", F.sort_array(F.array_distinct("buckets")))
+    cells = F.col("cells")
+
+    def laid_out(b: Column, k: Column) -> Column:
+        zeros = F.array_repeat(F.lit(0.0), b - F.coalesce(F.get(cells, k - 1), F.lit(-1)) - 1)
+        tf = F.array_size(F.col("buckets")) - F.array_size(F.array_remove(F.col("buckets"), b))
+        return F.concat(zeros, F.array(tf * F.get("idf", b)))
+
+    last = F.coalesce(F.get(cells, F.array_size(cells) - 1), F.lit(-1))
+    dense = F.concat(F.flatten(F.transform(cells, laid_out)),
+                     F.array_repeat(F.lit(0.0), F.lit(width - 1) - last))
+    return rows.select(*keys, "sent_id", dense.alias("embedding"))
 
 
 # --- embedding tables: groups of any size --------------------------------------

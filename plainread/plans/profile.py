@@ -75,7 +75,7 @@ def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
         **cohesion.word_rates(), **cohesion.sets(), "_alpha": F.count_if("is_alpha")}
     if "semantic" in tokens.columns:
         aggregates["semantic"] = F.first("semantic")
-    fields = ["lemma", "base", "pos", "tense", "aspect", *(["dep", "head_idx"] if own_labels else ["flag"])]
+    fields = ["lemma", "base", "pos", "tense", "aspect", *(["dep", "head_idx"] if own_labels else ["flag", "label"])]
     rows = gather(tokens_seen, keys, fields, aggregates)
     if own_labels:
         rows = rows.select("*", F.col("tok.dep").alias("dep"), F.col("tok.head_idx").alias("head"),
