@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def held_out(doc_id: Column) -> Column:
@@ -22,3 +23,15 @@ def texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
     """The texts of a batch one by one, null as empty; only one is a Python object at a time."""
     for value in batch.column(column):
         yield value.as_py() or ""
+
+
+def carried(table: DataFrame, column: str, made: str) -> T.StructType:
+    """Schema of a mapInArrow result: one column as it is, and the made ones."""
+    return T.StructType([table.schema[column], *T.StructType.fromDDL(made)])
+
+
+def unpacked(table: DataFrame, row: str, columns: Sequence[str], made: Sequence[str]) -> DataFrame:
+    """The columns packed in ``row`` beside the made ones; a made column replaces a carried one of
+    its name."""
+    return table.select(*[F.col(row)[c].alias(c) for c in columns if c not in made],
+                        *[F.col(f"`{m}`") for m in made])

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plainread.llm.common import type_of
+from plainread.llm.common import carried, type_of
 from plainread.session import materialize
 
 HEAD_BYTES = 64
@@ -153,9 +153,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                  first], ["_row", "_sha", "_part", "_edge"])
 
     ordered = content_sorted(docs, text, doc_id, normalize, keep, True)
-    row = ordered.schema["_row"].dataType.simpleString()
     found = materialize(ordered.select("_row", "_bytes", "_sha").mapInArrow(
-        leaders, f"_row {row}, _sha string, _part bigint, _edge binary"), "leaders")
+        leaders, carried(ordered, "_row", "_sha string, _part bigint, _edge binary")), "leaders")
     # A run that opens a partition goes on from an earlier one if some earlier partition has its
     # text.  There is one such run a partition at most, so the two tables below are tiny.
     opening = found.filter(F.col("_edge").isNotNull()).groupBy(F.col("_sha").alias("_open")).agg(

@@ -20,11 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainread.llm.common import texts, type_of
-from plainread.session import materialize
+from plainread.llm.common import carried, texts, unpacked
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -179,7 +178,6 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
     columns = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
                        F.col(f"`{text}`").alias("_text"))
-    kind = type_of(rows, "_row")
     model = prototypes.astype(np.float32)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,6 +198,5 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
                 [batch.column("_row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                 ["_row", "lang_pred", "score"])
 
-    made = rows.mapInArrow(nearest, f"_row {kind}, lang_pred string, score double")
-    return made.select(*[F.col("_row")[c].alias(c) for c in columns],
-                       *[F.col(n) for n in ("lang_pred", "score")])
+    made = rows.mapInArrow(nearest, carried(rows, "_row", "lang_pred string, score double"))
+    return unpacked(made, "_row", columns, ["lang_pred", "score"])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainread.llm.common import texts, type_of
+from plainread.llm.common import carried, texts, unpacked
 
 #: Bound of the training sample, rows of a label.
 SAMPLE_ROWS = 6000
@@ -209,7 +209,6 @@ def measure(docs: DataFrame, lexicon: Lexicon, text: str, keep: Sequence[str]) -
     """The ``keep`` columns with _sum, _peak and n_matches of every whole text."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"),
                        F.col(f"`{text}`").alias("_text"))
-    kind = type_of(rows, "_row")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
@@ -220,9 +219,8 @@ def measure(docs: DataFrame, lexicon: Lexicon, text: str, keep: Sequence[str]) -
                     (0, pa.float64()), (1, pa.float64()), (2, pa.int64()))]],
                 ["_row", "_sum", "_peak", "n_matches"])
 
-    made = rows.mapInArrow(scan, f"_row {kind}, _sum double, _peak double, n_matches bigint")
-    return made.select(*[F.col("_row")[c].alias(c) for c in keep],
-                       *[F.col(n) for n in ("_sum", "_peak", "n_matches")])
+    made = rows.mapInArrow(scan, carried(rows, "_row", "_sum double, _peak double, n_matches bigint"))
+    return unpacked(made, "_row", keep, ["_sum", "_peak", "n_matches"])
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text",
