@@ -7,7 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plainread.llm import byte_bpe, exact_dedup, language_id, suffix_dedup, toxicity
+from plainread.llm import (
+    byte_bpe,
+    exact_dedup,
+    jaccard_join,
+    language_id,
+    packing,
+    suffix_dedup,
+    toxicity,
+)
 from plainread.llm.common import held_out
 from plainread.sources.tables import read_table
 
@@ -42,11 +50,22 @@ def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
                         F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return jaccard_join.near_groups(docs).select("doc_id", "n_shingles", "component_id")
+
+
+def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return packing.pack(docs).drop("ids")
+
+
 def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     return exact_dedup.copy_groups(docs, keep="largest")
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_language_id, op2_toxicity, op4_byte_bpe, op5_suffix_dedup, op8_exact_dedup]
+    made = [op1_language_id, op2_toxicity, op4_byte_bpe, op5_suffix_dedup, op6_jaccard_join,
+            op7_packing, op8_exact_dedup]
     return {f.__name__: f for f in made}

@@ -32,10 +32,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plainread.llm.common import carried, unpacked
+from plainread.llm.common import carried, keyed, unpacked
 from plainread.session import materialize
 
 LENGTH = 400
@@ -262,13 +262,6 @@ def repeated_windows(found: DataFrame) -> DataFrame:
     return made.filter("_again").select(*KEY, "_at").union(beyond.select(*KEY, "_at"))
 
 
-def keyed(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
-    """What tells rows apart: hashes of the id and of the text.  Rows that agree in both are
-    copies under one id, whose results are the same."""
-    return (F.xxhash64(F.col(doc_id)).alias("_row"),
-            F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_mark"))
-
-
 def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                    length: int = LENGTH) -> DataFrame:
     """(_row, _mark, _spans): of each text with repeats, (from, count) of its repeated windows."""
