@@ -11,5 +11,16 @@ FROM t JOIN g USING (body)
 """
 
 
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+m AS (SELECT body, max(page_id) AS target FROM p WHERE strlen(body) >= 1000 GROUP BY body),
+j AS (SELECT p.page_id, p.body, CASE WHEN m.target <> p.page_id THEN m.target END AS refers_to
+      FROM p LEFT JOIN m USING (body))
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to
+FROM j
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op8_exact_dedup": EXACT_DEDUP}
+    return {"op3_warc": WARC, "op8_exact_dedup": EXACT_DEDUP}

@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainread.llm import (
+    ann,
     byte_bpe,
     exact_dedup,
     jaccard_join,
     language_id,
+    license_scan,
     packing,
     suffix_dedup,
     toxicity,
+    warc,
 )
 from plainread.llm.common import held_out
 from plainread.sources.tables import read_table
@@ -36,6 +39,14 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_warc(spark: SparkSession, sf: str) -> DataFrame:
+    pages = read_table(spark, sf, "pages").select("page_id", "url", "html")
+    found = warc.read(warc.write(pages, warc.new_archive(pages)))
+    return found.select(
+        F.col("record_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest",
+        "record_type", F.col("refers_to").cast("bigint").alias("refers_to"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     both = byte_bpe.decode(byte_bpe.encode(docs))
@@ -65,7 +76,17 @@ def op8_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.copy_groups(docs, keep="largest")
 
 
+def op9_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).drop("spans")
+
+
+def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
+    table = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    return ann.search(table, F.col("vec_id") % 20 == 0, 20)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_language_id, op2_toxicity, op4_byte_bpe, op5_suffix_dedup, op6_jaccard_join,
-            op7_packing, op8_exact_dedup]
+    made = [op1_language_id, op2_toxicity, op3_warc, op4_byte_bpe, op5_suffix_dedup, op6_jaccard_join,
+            op7_packing, op8_exact_dedup, op9_license_scan, op10_nearest]
     return {f.__name__: f for f in made}

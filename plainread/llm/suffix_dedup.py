@@ -279,9 +279,10 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                   length: int = LENGTH) -> DataFrame:
+                   length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """``docs`` with kept (binary: the remaining bytes, concatenated), n_bytes, n_removed and
-    n_spans (maximal removed runs)."""
+    n_spans (maximal removed runs).  ``as_text`` gives kept as a string, without the bytes of
+    characters that were cut through."""
     spans = repeated_spans(docs, text, doc_id, length)
     tagged = docs.select(*keyed(docs, text, doc_id), F.struct("*").alias("_doc"),
                          F.coalesce(F.col(text), F.lit("")).cast("binary").alias("_bytes"))
@@ -307,11 +308,15 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 kept.append(data[~gone].tobytes())
                 removed.append(int(gone.sum()))
                 n_spans.append(int(np.diff(gone.astype(np.int8), prepend=0).clip(0).sum()))
+            if as_text:
+                remaining = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            else:
+                remaining = pa.array(kept, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_doc"), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()),
+                [batch.column("_doc"), remaining, pa.array(sizes, pa.int64()),
                  pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64())],
                 ["_doc", "kept", "n_bytes", "n_removed", "n_spans"])
 
     made = tagged.join(spans, KEY, "left").select("_doc", "_bytes", "_spans").mapInArrow(
-        cut, carried(tagged, "_doc", "kept binary, n_bytes bigint, n_removed bigint, n_spans bigint"))
+        cut, carried(tagged, "_doc", f"kept {'string' if as_text else 'binary'}, n_bytes bigint, n_removed bigint, n_spans bigint"))
     return unpacked(made, "_doc", docs.columns, ["kept", "n_bytes", "n_removed", "n_spans"])
