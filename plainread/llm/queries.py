@@ -33,8 +33,8 @@ def op1_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     labels = read_table(spark, sf, "labels").select("doc_id", "toxic")
-    train = docs.join(labels, "doc_id").filter(~held_out(F.col("doc_id")))
-    found = toxicity.score(docs, toxicity.fit(train), keep=["doc_id"])
+    train = labels.filter(~held_out(F.col("doc_id")))
+    found = toxicity.score(docs, toxicity.fit(docs, train), keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
 

@@ -27,12 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plainread.llm.common import carried, texts, unpacked
+from plainread.session import materialize
 
 #: Bound of the training sample, rows of a label.
 SAMPLE_ROWS = 6000
 LEAST_PREFIX, MOST_PREFIX = 4, 12
 MIN_DOCS = 3
-MIN_WEIGHT = 2.5
+MIN_WEIGHT = 2.0
+MARGIN = 4.0
 MAX_TERMS = 20_000
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "not stupid",
               "not an idiot", "not a loser", "not worthless")
@@ -128,14 +130,16 @@ def evidence(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, floa
     return sum(best.values()) / math.log2(2 + words), max(best.values()), len(best)
 
 
-def sampled(train: DataFrame, text: str, label: str, rows: int) -> DataFrame:
-    """(_text, _y): of each label about ``rows`` rows at most, drawn by the hash of the text."""
-    known = train.select(F.coalesce(F.col(text), F.lit("")).alias("_text"),
-                         F.col(label).cast("int").alias("_y")).filter("_y in (0, 1)")
-    sizes = known.groupBy("_y").agg(F.count("*").alias("_n"))
-    share = F.lit(float(rows)) / F.col("_n")
-    return known.join(F.broadcast(sizes), "_y").filter(
-        F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < share * (1 << 20)).select("_text", "_y")
+def sampled(docs: DataFrame, labels: DataFrame, text: str, doc_id: str, label: str, rows: int
+            ) -> tuple[DataFrame, dict[int, int]]:
+    """((_text, _y), rows of each label): of each label about ``rows`` documents at most, drawn by the
+    hash of their ids.  Only ids drawn are broadcast, twice ``rows`` of them, so no text is moved."""
+    known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y in (0, 1)")
+    sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    share = F.when(F.col("_y") == 1, rows / max(1, sizes.get(1, 0))).otherwise(rows / max(1, sizes.get(0, 0)))
+    drawn = known.filter(F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) < share * (1 << 30))
+    whole = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    return materialize(whole.join(F.broadcast(drawn), "_id").select("_text", "_y").dropDuplicates(["_text"]), "labelled"), sizes
 
 
 def term_counts(sample: DataFrame) -> DataFrame:
@@ -159,37 +163,43 @@ def term_counts(sample: DataFrame) -> DataFrame:
         F.sum("_other").alias("_other"), F.sum("_toxic").alias("_toxic"))
 
 
-def fit(train: DataFrame, text: str = "text", label: str = "toxic", sample_rows: int = SAMPLE_ROWS,
-        exceptions: Sequence[str] = EXCEPTIONS, min_weight: float = MIN_WEIGHT) -> Lexicon:
-    """A lexicon from labelled rows: the terms with the strongest weight, of nested terms the one
-    found in more texts unless the longer is clearly stronger."""
-    sample = sampled(train, text, label, sample_rows)
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id",
+        label: str = "toxic", sample_rows: int = SAMPLE_ROWS, exceptions: Sequence[str] = EXCEPTIONS,
+        min_weight: float = MIN_WEIGHT) -> Lexicon:
+    """A lexicon from the documents that ``labels`` (<doc_id>, <label> 0 or 1) names: the terms with the
+    strongest weight, of nested terms the one found in more texts unless the longer is clearly
+    stronger.  Null labels are not used."""
+    sample, whole = sampled(docs, labels, text, doc_id, label, sample_rows)
     sizes = {r["_y"]: r["n"] for r in sample.groupBy("_y").agg(F.count("*").alias("n")).collect()}
     if not sizes.get(0) or not sizes.get(1):
         return Lexicon({}, exceptions)
-    weight = F.log((F.col("_toxic") + 0.5) / (sizes[1] + 1.0)) - F.log(
-        (F.col("_other") + 0.5) / (sizes[0] + 1.0))
-    found = (term_counts(sample).filter(F.col("_toxic") >= MIN_DOCS).withColumn("_w", weight)
-             .filter(F.col("_w") >= min_weight)
-             .orderBy(F.desc(F.col("_w") * F.col("_toxic")), "_term").limit(MAX_TERMS).collect())
+    counts = materialize(term_counts(sample), "terms")
+    base = sizes[1] / (sizes[0] + sizes[1])
+    t, o = F.col("_toxic"), F.col("_other")
+    weight = F.log((t + 0.5) / (sizes[1] + 1.0)) - F.log((o + 0.5) / (sizes[0] + 1.0))
+    # With so many terms tried, chance alone must be ruled out: the log likelihood ratio against
+    # an even spread over the labels has to pass that of the luckiest of them, with a margin.
+    chance = t * F.log(t / ((t + o) * base)) + F.when(o > 0, o * F.log(o / ((t + o) * (1 - base)))).otherwise(0)
+    found = (counts.filter(t >= MIN_DOCS).withColumn("_w", weight)
+             .filter((F.col("_w") >= min_weight) & (chance >= math.log(max(1, counts.count())) + MARGIN))
+             .orderBy(F.desc(F.col("_w") * t), "_term").limit(MAX_TERMS).collect())
     weights: dict[str, float] = {}
     for row in found:
         term = row["_term"]
         shorter = [weights[term[:n]] for n in range(LEAST_PREFIX + 1, len(term)) if term[:n] in weights]
-        if not shorter or max(shorter) + 0.5 < row["_w"]:
+        longer = any(t.startswith(term) for t in weights)
+        if not longer and (not shorter or max(shorter) + 0.5 < row["_w"]):
             weights[term] = row["_w"]
-    return Lexicon(weights, exceptions, curve(sample, Lexicon(weights, exceptions), sizes, train, label))
+    return Lexicon(weights, exceptions, curve(sample, Lexicon(weights, exceptions), sizes, whole))
 
 
-def curve(sample: DataFrame, lexicon: Lexicon, sizes: dict[int, int], train: DataFrame,
-          label: str) -> tuple[float, float, float]:
+def curve(sample: DataFrame, lexicon: Lexicon, sizes: dict[int, int], whole: dict[int, int]
+          ) -> tuple[float, float, float]:
     """(bias, slope of the damped sum, slope of the largest weight), by Newton steps on the
-    sample's evidence, counted in cells; rows weigh as the labels do in all of ``train``."""
+    sample's evidence, counted in cells; rows weigh as the labels do in ``whole``."""
     measured = measure(sample, lexicon, "_text", ["_y"])
     cells = measured.groupBy("_y", F.round("_sum", 1).alias("a"), F.round("_peak", 1).alias("b")).agg(
         F.count("*").alias("n")).collect()  # a cell for each pair of tenths: bounded by the weights
-    whole = {r["y"]: r["n"] for r in train.groupBy(F.col(label).cast("int").alias("y")).agg(
-        F.count("*").alias("n")).collect()}
     x = np.array([[1.0, r["a"], r["b"]] for r in cells])
     y = np.array([r["_y"] for r in cells], float)
     n = np.array([r["n"] * whole[r["_y"]] / sizes[r["_y"]] for r in cells])
