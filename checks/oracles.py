@@ -400,9 +400,8 @@ VALID = "try_cast(label AS DOUBLE) IS NOT NULL AND excerpt <> ''"
 
 LINKS = ("links AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS entity, url AS link, "
          "page_id AS rank FROM pages), "
-         "top3 AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY rank) AS n FROM links), "
-         "best AS (SELECT entity, arg_min(link, n) FILTER (n <= 3 AND link LIKE '%/') AS link "
-         "FROM top3 GROUP BY entity)")
+         "best AS (SELECT entity, arg_min(link, rank) FILTER (link LIKE '%/') AS link "
+         "FROM links GROUP BY entity)")
 
 
 def phrase_sql() -> str:

@@ -240,9 +240,8 @@ def word_zipf(spark: SparkSession, sf: str) -> DataFrame:
 
 def hashed_embedding(spark: SparkSession, sf: str) -> DataFrame:
     """Non-zero cells of the sentence embeddings."""
-    rows = embedding.hashed_embedding(segment.sentences(docs(spark, sf)))
-    cells = rows.select(*ROW, F.posexplode("embedding").alias("cell", "value"))
-    return cells.filter(F.col("value") != 0).select(*ROW, "cell", *r6("value"))
+    cells = embedding.hashed_cells(segment.sentences(docs(spark, sf)))
+    return cells.select(*ROW, "cell", *r6("value"))
 
 
 # --- features per sentence ---------------------------------------------------------

@@ -181,7 +181,12 @@ def relate(rows: DataFrame) -> DataFrame:
 
 def token_table(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text"
                 ) -> DataFrame:
-    """The full token table of ``docs``: (keys, sent_id, TABLE_COLUMNS)."""
+    """The full token table of ``docs``: (keys, sent_id, TABLE_COLUMNS).
+
+    The exchange moves each text once; gathering sentences reuses it, as does any grouping of the
+    result by ``keys``.
+    """
+    docs = docs.select(*keys, text).repartition(*keys)
     rows = relate(gather(word_tokens(docs, keys, text), keys, WORD_COLUMNS))
     one = F.explode(F.arrays_zip("tok", "dep", "head", "aspect")).alias("t")
     rows = rows.select(*keys, "sent_id", one)

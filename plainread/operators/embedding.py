@@ -22,6 +22,8 @@ from pyspark.sql import types as T
 
 from plainread.functions import kernels, rules
 from plainread.functions import wordlists as W
+from plainread.operators.numbering import numbered
+from plainread.session import materialize
 
 STRIPE = 16384          # rows of one side of a tile: 16384 x 384 doubles = 50 MB
 SIMILARITY = "adjacent double, mean_previous double, max_previous double"
@@ -53,42 +55,50 @@ def document_similarity(sents: Column, idf: Sequence[float] | None = None,
     return similarity(F.flatten(buckets), F.transform(buckets, F.array_size))
 
 
-def fit_idf(buckets: DataFrame, width: int = W.EMBEDDING_WIDTH) -> Column:
-    """array<double> of ``width`` values ln((n+1)/(df+1)), as a scalar subquery.
+def counted_cells(sentences: DataFrame, keys: Sequence[str] = ("doc_id",),
+                  width: int = W.EMBEDDING_WIDTH) -> DataFrame:
+    """(keys, sent_id, cell, tf): how often a sentence's words fall into each cell; a row with a
+    null cell stands for the sentence itself, so that none is lost.
 
-    ``buckets`` holds one array per sentence; counting is reduced to ``width`` rows
-    before they meet.
+    Each word is hashed once, on a row of its own.
     """
-    n = buckets.select(F.count("*").alias("n")).scalar()
-    df = (buckets.select(F.explode(F.array_distinct("buckets")).alias("bucket"))
-          .groupBy("bucket").agg(F.count("*").alias("df")))
-    found = df.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "df"))).alias("df"))
-    each = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.log(
-        (F.col("n") + 1.0) / (F.coalesce(F.try_element_at(F.col("df"), b), F.lit(0)) + 1.0)))
-    return found.withColumn("n", n).select(each.alias("idf")).scalar()
+    words = F.regexp_extract_all(F.lower("text"), F.lit(W.WORD_PATTERN), F.lit(0))
+    rows = sentences.select(*keys, "sent_id", F.explode(
+        F.concat(words, F.array(F.lit(None).cast("string")))).alias("word"))
+    rows = rows.select(*keys, "sent_id", rules.hash_bucket(F.col("word"), width).alias("cell"))
+    return rows.groupBy(*keys, "sent_id", "cell").agg(F.count("*").alias("tf"))
 
 
-def hashed_embedding(sentences: DataFrame, keys: Sequence[str] = ("doc_id",),
-                     width: int = W.EMBEDDING_WIDTH) -> DataFrame:
-    """(keys, sent_id, embedding): dense TF-IDF vectors of the hashed words.
+def weighted_cells(cells: DataFrame) -> DataFrame:
+    """``cells`` with value = tf ln((n + 1) / (df + 1)); ``cells`` should be materialized.
 
-    Apart from fitting idf this is a projection of the sentence row: the sorted
-    distinct buckets are laid out with runs of zeros between them.
+    The document frequencies and the number of sentences are one aggregate of a row a cell, which
+    bounds what is broadcast.
     """
-    rows = sentences.select(*keys, "sent_id",
-                            sentence_buckets(F.col("text"), width).alias("buckets"))
-    rows = rows.withColumn("idf", fit_idf(rows.select("buckets"), width))
-    rows = rows.withColumn("cells", F.sort_array(F.array_distinct("buckets")))
-    cells = F.col("cells")
-
-    def laid_out(b: Column, k: Column) -> Column:
-        zeros = F.array_repeat(F.lit(0.0), b - F.coalesce(F.get(cells, k - 1), F.lit(-1)) - 1)
-        tf = F.array_size(F.col("buckets")) - F.array_size(F.array_remove(F.col("buckets"), b))
-        return F.concat(zeros, F.array(tf * F.get("idf", b)))
-
-    last = F.coalesce(F.get(cells, F.array_size(cells) - 1), F.lit(-1))
-    dense = F.concat(F.flatten(F.transform(cells, laid_out)),
-                     F.array_repeat(F.lit(0.0), F.lit(width - 1) - last))
+    df = cells.groupBy("cell").agg(F.count("*").alias("df"))
+    n = df.filter("cell is null").select("df").scalar()
+    idf = df.filter("cell is not null").select(
+        F.col("cell").alias("_cell"), F.log((n + 1.0) / (F.col("df") + 1.0)).alias("_idf"))
+    rows = cells.join(F.broadcast(idf), F.col("cell") == F.col("_cell"), "left")
+    return rows.select(*cells.columns, (F.col("tf") * F.col("_idf")).alias("value"))
+
+
+def hashed_cells(sentences: DataFrame, keys: Sequence[str] = ("doc_id",),
+                 width: int = W.EMBEDDING_WIDTH) -> DataFrame:
+    """(keys, sent_id, cell, value): the non-zero cells of TF-IDF vectors of the hashed words."""
+    cells = weighted_cells(materialize(counted_cells(sentences, keys, width), "cells"))
+    return cells.filter("value <> 0").select(*keys, "sent_id", "cell", "value")
+
+
+def hashed_embedding(sentences: DataFrame, keys: Sequence[str] = ("doc_id",),
+                     width: int = W.EMBEDDING_WIDTH) -> DataFrame:
+    """(keys, sent_id, embedding): the same as dense vectors, one per sentence."""
+    cells = weighted_cells(materialize(counted_cells(sentences, keys, width), "cells"))
+    held = F.map_from_entries(F.collect_list(F.when(
+        F.col("cell").isNotNull(), F.struct("cell", "value")))).alias("held")
+    rows = cells.groupBy(*keys, "sent_id").agg(held)
+    dense = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda c: F.coalesce(
+        F.try_element_at("held", c), F.lit(0.0)))
     return rows.select(*keys, "sent_id", dense.alias("embedding"))
 
 
@@ -108,19 +118,17 @@ def adjacent_cosine(table: DataFrame, keys: Sequence[str], order: str, embedding
                     block: int = 100_000) -> DataFrame:
     """(keys, order, adjacent): cosine with the row before it; 0 for the first.
 
-    The window runs per (group, block of ``order``), so a hot group is spread
-    over many tasks; the last row of each block is carried over to the next one
-    by a table of one row per block.
+    The window runs per (group, block of places), so a hot group is spread over many tasks whatever
+    the values of ``order``; the last row of each block meets the first of the next by a join.
     """
     keys = list(keys)
-    rows = table.select(*keys, F.col(order).alias("_at"),
-                        F.floor(F.col(order) / block).alias("_block"),
-                        F.col(embedding).cast("array<double>").alias("_v"))
-    inside = Window.partitionBy(*keys, "_block").orderBy("_at")
+    rows = numbered(table.select(*keys, F.col(order).alias("_at"),
+                                 F.col(embedding).cast("array<double>").alias("_v")), keys, "_at")
+    rows = rows.withColumn("_block", F.floor(F.col("_pos") / block))
+    inside = Window.partitionBy(*keys, "_block").orderBy("_pos")
     rows = rows.withColumn("_before", F.lag("_v").over(inside))
-    last = rows.groupBy(*keys, "_block").agg(F.max_by("_v", "_at").alias("_last"))
-    carried = last.select(*keys, "_block", F.lag("_last").over(
-        Window.partitionBy(*keys).orderBy("_block")).alias("_carried"))
+    last = rows.groupBy(*keys, "_block").agg(F.max_by("_v", "_pos").alias("_carried"))
+    carried = last.withColumn("_block", F.col("_block") + 1)
     joined = rows.join(carried, [*keys, "_block"], "left")
     before = F.coalesce("_before", "_carried")
     return joined.select(*keys, F.col("_at").alias(order),
@@ -132,21 +140,19 @@ def previous_similarity(table: DataFrame, keys: Sequence[str], order: str, embed
     """(keys, order, adjacent, mean_previous, max_previous) over all earlier rows.
 
     Exact and without emitting pairs.  A group is cut into stripes of at most
-    ``stripe`` rows (``order`` must be unique and non-negative in a group).  Tile
+    ``stripe`` rows by place (``order`` must be unique in a group).  Tile
     (i, j<=i) compares stripe i with the earlier stripe j in one task and returns
     one partial result per row of stripe i; partials add up per row.  A group of
     one stripe is read once; a hot group is spread over a triangle of tiles.
     ``max_previous`` is null for the first row of a group.
     """
     keys = list(keys)
-    rows = table.select(*keys, F.col(order).cast("bigint").alias("at"),
-                        F.floor(F.col(order) / stripe).cast("bigint").alias("stripe"),
-                        F.col(embedding).cast("array<double>").alias("v"))
-    stripes = rows.groupBy(*keys, "stripe").agg(F.count("*").alias("n"))
-    later = (stripes.groupBy(*keys).agg(F.array_sort(F.collect_list("stripe")).alias("all")))
-    placed = rows.join(later, keys).select(
-        *keys, "at", "v", "stripe",
-        F.explode("all").alias("other"))
+    numbers = numbered(table.select(*keys, F.col(order).alias("_order"),
+                                    F.col(embedding).cast("array<double>").alias("v")), keys, "_order", "at")
+    rows = numbers.select(*keys, "at", "v", F.floor(F.col("at") / stripe).alias("stripe"))
+    sizes = numbers.groupBy(*keys).agg(F.floor(F.max("at") / stripe).alias("_last"))
+    placed = rows.join(sizes, keys).select(
+        *keys, "at", "v", "stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("other"))
     tiled = placed.select(
         *keys, "at", "v",
         F.greatest("stripe", "other").alias("i"), F.least("stripe", "other").alias("j"),
@@ -173,7 +179,8 @@ def previous_similarity(table: DataFrame, keys: Sequence[str], order: str, embed
     merged = partial.groupBy(*keys, "at").agg(
         F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"),
         F.max_by("near", F.when(F.col("near").isNotNull(), F.col("near_at"))).alias("near"))
+    merged = merged.join(numbers.select(*keys, "at", "_order"), [*keys, "at"])
     return merged.select(
-        *keys, F.col("at").alias(order), F.coalesce("near", F.lit(0.0)).alias("adjacent"),
+        *keys, F.col("_order").alias(order), F.coalesce("near", F.lit(0.0)).alias("adjacent"),
         rules.ratio(F.col("total"), F.col("n")).alias("mean_previous"),
         F.col("best").alias("max_previous"))

@@ -67,12 +67,13 @@ def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
     """
     keys = list(keys)
     own_labels = "dep" in tokens.columns
-    tokens_seen = lexical.with_lexicons(tokens, keys, zipf, norms, limit)
+    tokens_seen = lexical.with_lexicons(document.first_uses(tokens, keys), keys, zipf, norms, limit)
     aggregates = {
         **lexical.pos_counts(), **lexical.person_counts(compat), **lexical.mean_syllables(),
         **lexical.frequency_means(zipf is not None), **lexical.norm_means(norms is not None),
         **surface.lengths(), **surface.connectives(), **surface.word_kinds(),
-        **cohesion.word_rates(), **cohesion.sets(), "_alpha": F.count_if("is_alpha")}
+        **cohesion.word_rates(), **cohesion.sets(), "_alpha": F.count_if("is_alpha"),
+        **{f"_{n}": c for n, c in document.sentence_counts().items()}}
     if "semantic" in tokens.columns:
         aggregates["semantic"] = F.first("semantic")
     fields = ["lemma", "base", "pos", "tense", "aspect", *(["dep", "head_idx"] if own_labels else ["flag", "label"])]
@@ -95,8 +96,11 @@ def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
         "negations": syntax.label_count(F.col("dep"), "neg")}
     plain = [n for n in aggregates if not n.startswith("_") and n != "semantic"]
     rates = [n for n in plain if n in cohesion.word_rates()]
+    # Sums over the document, on rows that are already together.
+    document_wide = Window.partitionBy(*keys)
+    counted = [F.sum(f"_{n}").over(document_wide).alias(n) for n in document.sentence_counts()]
     rows = rows.select(
-        *keys, "sent_id", "semantic", "_alpha", *[n for n in plain if n not in rates],
+        *keys, "sent_id", "semantic", "_alpha", *counted, *[n for n in plain if n not in rates],
         *[cohesion.later(F.col(n)).alias(n) for n in rates],
         *[c.alias(n) for n, c in own.items()], cohesion.keep().alias("here"))
     rows = cohesion.with_previous(rows, keys)
@@ -109,10 +113,9 @@ def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
     pair = {**cohesion.overlaps(), **cohesion.pos_dissimilarity(), **cohesion.word_dissimilarity(),
             **cohesion.verb_repetition(), **cohesion.type_token_ratio(),
             **cohesion.semantic(F.col("semantic"))}
-    rows = rows.select(*keys, "sent_id", *plain, *own, F.struct(
+    rows = rows.select(*keys, "sent_id", *plain, *own, *document.sentence_counts(), F.struct(
         F.col("here.words").alias("words"), F.col("here.content").alias("content")).alias("here"),
         *[c.alias(n) for n, c in pair.items()])
-    rows = rows.join(document.counts(tokens, keys), keys, "left")
     whole = {**cohesion.document_overlap(compat),
              **{n: cohesion.later(c) for n, c in document.diversity().items()},
              **{n: F.lit(0.0) for n in CONSTANT_FEATURES}}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ENTITY_SCHEMA = "hospitals array<struct<name: string, state: string, type: string, rank: bigint>>"
@@ -20,18 +20,11 @@ def read_entities(spark: SparkSession, path: str, multi_line: bool = True) -> Da
 
 
 def first_matching_link(links: DataFrame, entity: str = "entity", link: str = "link",
-                        rank: str = "rank", suffix: str = ".pdf", candidates: int = 3
-                        ) -> DataFrame:
-    """(entity, link): per entity the best-ranked of its first ``candidates`` links that
-    ends with ``suffix``, else null.
-
-    The row-number filter is applied per task before the shuffle, so an entity
-    with very many links costs ``candidates`` rows a task.
-    """
-    order = Window.partitionBy(entity).orderBy(rank)
-    top = links.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= candidates)
+                        rank: str = "rank", suffix: str = ".pdf") -> DataFrame:
+    """(entity, link): per entity the best-ranked of all its links that ends with ``suffix``,
+    else null.  One partial aggregate, so an entity with very many links costs a row a task."""
     fits = F.col(link).endswith(F.lit(suffix))
-    return top.groupBy(entity).agg(F.min_by(link, F.when(fits, F.col("_n"))).alias(link))
+    return links.groupBy(entity).agg(F.min_by(link, F.when(fits, F.col(rank))).alias(link))
 
 
 def failed_extractions(entities: DataFrame, found: DataFrame, keys: Sequence[str],

@@ -198,12 +198,13 @@ def test_entities_and_pages(spark, tmp_path):
     assert [tuple(r) for r in entities.read_entities(spark, str(tmp_path / "e.json")).collect()] == [
         ("A", "CA", "X", 1)]
     links = spark.createDataFrame([("a", "x.html", 1), ("a", "y.pdf", 2), ("a", "z.pdf", 3),
-                                   ("b", "1", 1), ("b", "2", 2), ("b", "3", 3), ("b", "4.pdf", 4)],
+                                   ("b", "1", 1), ("b", "2", 2), ("b", "3", 3), ("b", "4.pdf", 4), ("c", "5.html", 1)],
                                   "entity string, link string, rank int")
     best = entities.first_matching_link(links)
-    assert {r.entity: r.link for r in best.collect()} == {"a": "y.pdf", "b": None}
+    assert {r.entity: r.link for r in best.collect()} == {
+        "a": "y.pdf", "b": "4.pdf", "c": None}
     failed = entities.failed_extractions(links.select("entity").distinct(), best, ["entity"], "link")
-    assert [r.entity for r in failed.collect()] == ["b"]
+    assert [r.entity for r in failed.collect()] == ["c"]
     html = spark.createDataFrame([("<p>Hi <b>you</b></p><script>x</script>",), ("<p> </p>",)], "h string")
     assert [r[0] for r in html.select(pages.page_text(F.col("h"))).collect()] == ["Hi you", None]
     parts = spark.createDataFrame([(1, 2, "b"), (1, 1, " a"), (1, 3, ""), (2, 1, None)],
