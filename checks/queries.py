@@ -9,6 +9,7 @@ import json
 from collections.abc import Callable, Sequence
 from functools import partial
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,7 +89,18 @@ def norms(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- sources --------------------------------------------------------------------
 
+_files: dict[tuple[str, str], str] = {}
+
+
 def training_file(spark: SparkSession, sf: str) -> str:
+    """The training file of a folder, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _files:
+        _files[key] = write_training_file(spark, sf)
+    return _files[key]
+
+
+def write_training_file(spark: SparkSession, sf: str) -> str:
     """``documents`` with ``labels`` as a training CSV with an untidy header, text
     over several lines, blank and malformed numbers; files in doc_id order."""
     table = read_table(spark, sf, "documents").join(read_table(spark, sf, "labels"), "doc_id", "left")
@@ -149,6 +161,23 @@ def ruleset_phrases(spark: SparkSession, sf: str) -> DataFrame:
         "category", "phrase", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+RULES = {"first_person": ["you", "it", "they"], **{
+    name: W.CONNECTIVES[other] for name, other in zip(W.CONNECTIVES, [*list(W.CONNECTIVES)[1:], list(W.CONNECTIVES)[0]])}}
+
+
+def ruleset_features(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by a rule-set file other than the built-in lists: each category has the words of the
+    next, and other pronouns are first person."""
+    path = new_path(spark, "ruleset")
+    text = json.dumps({"first_person": RULES["first_person"], "connectives": {
+        f"{name}_connectives": RULES[name] for name in W.CONNECTIVES}})
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    rows = profile.sentence_features(docs(spark, sf), semantic=False,
+                                     ruleset=lexicons.read_ruleset(spark, path))
+    return rows.filter(F.col("sent_id").isNotNull()).select(
+        *ROW, *[f"{name}_connectives" for name in W.CONNECTIVES], "first_person_pronouns")
+
+
 def entities_read(spark: SparkSession, sf: str) -> DataFrame:
     """Suppliers as entity files, 100 to an object, read back."""
     rows = (read_table(spark, sf, "supplier")
@@ -341,6 +370,27 @@ def profile_stats(spark: SparkSession, sf: str) -> DataFrame:
     return profile.profile_long(flat).select("doc_id", "feature", *nudged(*profile.STATS))
 
 
+def profile_struct(spark: SparkSession, sf: str) -> DataFrame:
+    """The profile as one record a feature, two of them laid open."""
+    rows = profile.profile(profile.sentence_features(docs(spark, sf), semantic=False))
+    return rows.select("doc_id", *nudged_as(
+        ("nouns.avg", "nouns_avg"), ("nouns.sd", "nouns_sd"), ("word_count.min", "word_count_min"),
+        ("word_count.max", "word_count_max")))
+
+
+def nudged_as(*names: tuple[str, str]) -> list[Column]:
+    return [F.round(F.col(a).cast("double") + 1e-9, 6).alias(b) for a, b in names]
+
+
+def nested_record(spark: SparkSession, sf: str) -> DataFrame:
+    """The four records of a sentence, a field of each laid open."""
+    rows = profile.nested(profile.sentence_features(docs(spark, sf), semantic=False))
+    return rows.filter(F.col("sent_id").isNotNull()).select(
+        *ROW, F.col("surface.word_count").alias("word_count"), F.col("lexical.verbs").alias("verbs"),
+        F.col("syntax.passive_constructions").alias("passive_constructions"),
+        *nudged_as(("cohesion.type_token_ratio", "type_token_ratio")))
+
+
 @once
 def compat_means(spark: SparkSession, sf: str) -> DataFrame:
     return means(spark, sf, compat=True)
@@ -357,23 +407,60 @@ def feature_vector(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "idx", *nudged("value"))
 
 
+@once
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return model.training_pairs(means(spark, sf, compat=False), read_table(spark, sf, "labels"),
-                                label="quality")
+    """Only labelled documents are featurised."""
+    labels = read_table(spark, sf, "labels")
+    labelled = docs(spark, sf).join(labels, "doc_id", "left_semi")
+    return model.training_pairs(profile.profile_means(profile.sentence_features(
+        labelled, zipf=zipf(spark, sf), norms=norms(spark, sf))), labels, label="quality")
 
 
 def training_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return pairs(spark, sf).select("doc_id", *r6("label"), *nudged(*W.FEATURES))
 
 
+def fit_summary(rows: DataFrame, name: str, fitted, key: str = "doc_id") -> DataFrame:
+    """What must hold of a fit whatever the solver: the mean prediction over the training rows is the
+    mean label, and the training error is not above the variance of the labels."""
+    both = model.score(rows, fitted, [key]).join(rows.select(key, "label"), key)
+    error = F.avg((F.col("score") - F.col("label")) ** 2)
+    return both.agg(F.count("*").alias("n"), *[F.round(F.avg(c), 6).alias(n) for c, n in (
+        ("score", "mean_prediction"), ("label", "mean_label"))],
+        (error <= F.var_pop("label") + 1e-9).alias("no_worse_than_mean")).select(
+        F.lit(name).alias("model"), "*")
+
+
 def train_gbt(spark: SparkSession, sf: str) -> DataFrame:
-    fitted = model.train(pairs(spark, sf), path=new_path(spark, "gbt"))
-    return model.score(means(spark, sf, compat=False), fitted)
+    """Boosted trees, saved, loaded and applied."""
+    path = new_path(spark, "gbt")
+    model.train(pairs(spark, sf), path=path)
+    return fit_summary(pairs(spark, sf), "gbt", PipelineModel.load(path))
+
+
+def tree_importances(spark: SparkSession, sf: str) -> DataFrame:
+    """One importance a feature, none negative, of sum 1."""
+    fitted = model.train(pairs(spark, sf))
+    rows = spark.createDataFrame(model.importances(fitted), "feature string, importance double")
+    total = rows.agg(F.round(F.sum("importance"), 6).alias("total")).scalar()
+    return rows.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
 
 
 def train_linear(spark: SparkSession, sf: str) -> DataFrame:
     fitted = model.linear_weights(model.train(pairs(spark, sf), model.linear_regressor()))
-    return model.score(means(spark, sf, compat=False), fitted)
+    return fit_summary(pairs(spark, sf), "linear", fitted)
+
+
+def train_from_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Training file to features, pairs, fit, saved model, and its scores."""
+    rows = training.read_training(spark, training_file(spark, sf))
+    features = profile.sentence_features(spread(rows.select("id", "excerpt")), ["id"], "excerpt",
+                                         zipf=zipf(spark, sf), norms=norms(spark, sf))
+    made = materialize(model.training_pairs(profile.profile_means(features, ["id"]), rows, "id",
+                                            "bt_easiness"), "file-pairs")
+    path = new_path(spark, "linear")
+    model.train(made, model.linear_regressor(), path)
+    return fit_summary(made, "file", PipelineModel.load(path), "id")
 
 
 def score_linear(spark: SparkSession, sf: str) -> DataFrame:
@@ -426,6 +513,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
              surface_connectives, surface_phrases, function_content_ratio, lexical_syllables,
              doc_lemma_sets, doc_lexical_diversity, cosine_adjacent, cosine_all_previous,
              profile_wide, profile_stats, feature_vector, training_pairs, train_gbt, train_linear,
+             train_from_file, tree_importances, ruleset_features, nested_record, profile_struct,
              score_linear, sentence_scores, attributions, score_card]
     out = {f.__name__: f for f in plain}
     out["surface_lengths"] = partial(per_sentence, surface.lengths)

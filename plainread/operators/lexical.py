@@ -29,10 +29,12 @@ def pos_counts() -> dict[str, Column]:
             "adverbs": F.count_if(pos == "ADV"), "pronouns": F.count_if(pos == "PRON")}
 
 
-def person_counts(compat: bool = False) -> dict[str, Column]:
-    """First-person pronouns and all other pronouns (compat: none and all)."""
+def person_counts(compat: bool = False, listed: Column | None = None) -> dict[str, Column]:
+    """First-person pronouns and all other pronouns (compat: none and all).  ``listed`` tells what
+    is first person, by default the built-in list."""
     pronoun = F.col("pos") == "PRON"
-    first = F.lit(False) if compat else rules.one_of(F.col("lower"), W.FIRST_PERSON)
+    first = rules.one_of(F.col("lower"), W.FIRST_PERSON) if listed is None else listed
+    first = F.lit(False) if compat else first
     return {"first_person_pronouns": F.count_if(pronoun & first),
             "third_person_pronouns": F.count_if(pronoun & ~first)}
 
@@ -47,9 +49,13 @@ def negations() -> dict[str, Column]:
 
 
 def with_lexicons(tokens: DataFrame, keys: Sequence[str], zipf: DataFrame | None = None,
-                  norms: DataFrame | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Token rows with the columns ``zipf`` and the four norms where tables are given."""
+                  norms: DataFrame | None = None, limit: int = BROADCAST_BYTES,
+                  rule_words: DataFrame | None = None) -> DataFrame:
+    """Token rows with the columns ``zipf``, the four norms and ``rule_categories`` where tables
+    are given."""
     spread = [*keys, "sent_id"]
+    if rule_words is not None:
+        tokens = lookup(tokens, rule_words, "lower", "word", ["rule_categories"], spread, limit=limit)
     if zipf is not None:
         tokens = lookup(tokens, zipf, "lower", "word", ["zipf"], spread, rank="n", limit=limit)
     if norms is not None:

@@ -7,15 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainread.session import materialize
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 HEAD_ROWS = 20_000
 SALTS = 1024
 
 
 def fits_broadcast(table: DataFrame, key: str, limit: int = BROADCAST_BYTES) -> bool:
-    """True when the table (keys as stored, 64 bytes a row for the rest) is within limit."""
-    size = table.agg(F.sum(F.octet_length(key) + 64)).first()[0] or 0
-    return size <= limit
+    """True when the table (keys as stored, 64 bytes a row for the rest) is within limit.
+
+    Refuses a table that repeats a key: rows looked up in it would multiply.
+    """
+    keys = table.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    size, most = keys.agg(F.sum(F.col("_n") * (F.octet_length(key) + 64)), F.max("_n")).first()
+    if (most or 0) > 1:
+        raise ValueError(f"the lookup table repeats a {key}")
+    return (size or 0) <= limit
 
 
 def lookup(tokens: DataFrame, table: DataFrame, token_key: str, key: str,
@@ -30,19 +38,18 @@ def lookup(tokens: DataFrame, table: DataFrame, token_key: str, key: str,
       ``HEAD_ROWS`` words broadcast.  Rows they answer skip the second join: their
       key is null and a salt made from the ``spread`` columns keeps them apart.  What
       is left to shuffle has no hot word.
-    * A larger one without ``rank`` is joined on (key, salt) with 16 copies of
-      the table, so that no word is bound to a single task.
+    * For a larger one without ``rank`` the tokens themselves are counted by key, and the count
+      is the rank.
     """
     side = table.select(F.col(key).alias("_key"), *[F.col(v).alias(v) for v in values])
     if fits_broadcast(table, key, limit):
         return (tokens.join(F.broadcast(side), tokens[token_key] == side["_key"], "left")
                 .drop("_key"))
     if rank is None:
-        copies = 16
-        salted = tokens.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(copies)).cast("int"))
-        side = side.withColumn("_salt2", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-        hit = (salted[token_key] == side["_key"]) & (salted["_salt"] == side["_salt2"])
-        return salted.join(side, hit, "left").drop("_key", "_salt", "_salt2")
+        uses = tokens.groupBy(F.col(token_key).alias("_use")).agg(F.count("*").alias("_uses"))
+        table = materialize(table.join(uses, F.col(key) == F.col("_use"), "left").select(
+            *[F.col(c) for c in table.columns], F.coalesce("_uses", F.lit(0)).alias("_uses")), "lookup")
+        rank, side = "_uses", table.select(F.col(key).alias("_key"), *[F.col(v).alias(v) for v in values])
     ordered = table.orderBy(F.desc(rank), F.asc(key)).limit(HEAD_ROWS)
     head = ordered.select(F.col(key).alias("_head"),
                           *[F.col(v).alias(f"_h_{v}") for v in values])

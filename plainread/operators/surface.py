@@ -25,6 +25,16 @@ def connectives(lists: Mapping[str, Sequence[str]] = W.CONNECTIVES) -> dict[str,
             for name, words in lists.items()}
 
 
+def rule_connectives() -> dict[str, Column]:
+    """The same by a rule set's own lists: token rows hold ``rule_categories``."""
+    conjunction = rules.one_of(F.col("pos"), W.CONJUNCTION_POS)
+    return {f"{name}_connectives": F.count_if(conjunction & in_category(name)) for name in W.CONNECTIVES}
+
+
+def in_category(name: str) -> Column:
+    return F.coalesce(F.array_contains("rule_categories", name), F.lit(False))
+
+
 def connectives_total(lists: Mapping[str, Sequence[str]] = W.CONNECTIVES,
                       compat: bool = False) -> Column:
     """Sum of the category counts, over columns already computed (compat: 0)."""
@@ -37,7 +47,7 @@ def connectives_total(lists: Mapping[str, Sequence[str]] = W.CONNECTIVES,
 def phrase_pattern(phrase: str) -> str:
     """Regular expression of a phrase; "..." stands for any words between."""
     parts = [re.escape(p.strip()).replace("\\ ", " ") for p in phrase.split("...")]
-    return r"\b" + r"\b.*\b".join(parts) + r"\b"
+    return r"\b" + r"\b.*?\b".join(parts) + r"\b"
 
 
 def multi_word(phrases: Sequence[str]) -> list[str]:

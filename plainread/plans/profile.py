@@ -19,6 +19,8 @@ from plainread.operators import cohesion, document, embedding, lexical, surface,
 from plainread.operators.annotate import gather, of_token_table, relate, word_tokens
 from plainread.operators.lookup import BROADCAST_BYTES
 from plainread.operators.segment import sentence_array
+from plainread.session import materialize
+from plainread.sources.lexicons import ruleset_words
 
 STATS = ("avg", "sd", "min", "max")
 CONSTANT_FEATURES = ["avg_polysemy", "modifiers_per_np"]
@@ -55,23 +57,28 @@ def profile_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str
 def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
                 zipf: DataFrame | None = None, norms: DataFrame | None = None,
                 similarity: DataFrame | None = None, compat: bool = False,
-                limit: int = BROADCAST_BYTES) -> DataFrame:
+                limit: int = BROADCAST_BYTES, ruleset: DataFrame | None = None) -> DataFrame:
     """(keys, sent_id, 48 features, negations) of token rows.
 
     ``zipf`` is (word, n, zipf) and ``norms`` is (word, aoa, concreteness, familiarity,
     imagery); both materialized, since their size decides the kind of join.
     ``similarity`` is (keys, sent_id, semantic).  What is not given counts as 0.
+    ``ruleset`` (category, phrase) replaces the built-in connectives and first person.
 
     Token rows that already have ``dep`` come from a caller's table; the others are
     related by rule after gathering.
     """
     keys = list(keys)
     own_labels = "dep" in tokens.columns
-    tokens_seen = lexical.with_lexicons(document.first_uses(tokens, keys), keys, zipf, norms, limit)
+    rule_words = None if ruleset is None else materialize(ruleset_words(ruleset), "rule-words")
+    tokens_seen = lexical.with_lexicons(document.first_uses(tokens, keys), keys, zipf, norms, limit,
+                                        rule_words)
+    person = None if ruleset is None else surface.in_category("first_person")
+    connectives = surface.connectives() if ruleset is None else surface.rule_connectives()
     aggregates = {
-        **lexical.pos_counts(), **lexical.person_counts(compat), **lexical.mean_syllables(),
+        **lexical.pos_counts(), **lexical.person_counts(compat, person), **lexical.mean_syllables(),
         **lexical.frequency_means(zipf is not None), **lexical.norm_means(norms is not None),
-        **surface.lengths(), **surface.connectives(), **surface.word_kinds(),
+        **surface.lengths(), **connectives, **surface.word_kinds(),
         **cohesion.word_rates(), **cohesion.sets(), "_alpha": F.count_if("is_alpha"),
         **{f"_{n}": c for n, c in document.sentence_counts().items()}}
     if "semantic" in tokens.columns:
@@ -128,14 +135,15 @@ def sentence_features(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text:
                       zipf: DataFrame | None = None, norms: DataFrame | None = None,
                       embeddings: DataFrame | None = None, compat: bool = False,
                       semantic: bool = True, idf: Sequence[float] | None = None,
-                      clustered: bool = False) -> DataFrame:
+                      clustered: bool = False, ruleset: DataFrame | None = None) -> DataFrame:
     """Features of every sentence of ``docs`` by the built-in annotator.
 
     ``embeddings`` (keys, sent_id, embedding) replaces the built-in provider.
     Documents without sentences have one row with null ``sent_id``.
     """
     tokens = profile_tokens(docs, keys, text, semantic and embeddings is None, idf, clustered)
-    return features_of(tokens, keys, zipf, norms, _similarity(embeddings, keys), compat)
+    return features_of(tokens, keys, zipf, norms, _similarity(embeddings, keys), compat,
+                       ruleset=ruleset)
 
 
 def sentence_features_of_tokens(tokens: DataFrame, sentences: DataFrame,

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from plainread.functions import wordlists as W
 
-MAX_RULE_PHRASES = 10_000
-
 
 def read_norms(spark: SparkSession, path: str) -> DataFrame:
     """(word, aoa, concreteness, familiarity, imagery): complete rows, words trimmed and
@@ -35,12 +33,9 @@ def read_ruleset(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("category", F.explode("phrases").alias("phrase"))
 
 
-def ruleset_lists(ruleset: DataFrame) -> dict[str, list[str]]:
-    """A rule set as word lists for the feature functions; refuses an oversized one."""
-    rows = ruleset.limit(MAX_RULE_PHRASES + 1).collect()
-    if len(rows) > MAX_RULE_PHRASES:
-        raise ValueError(f"a rule set has at most {MAX_RULE_PHRASES} phrases")
-    lists: dict[str, list[str]] = {}
-    for row in rows:
-        lists.setdefault(row["category"], []).append(row["phrase"])
-    return lists
+def ruleset_words(ruleset: DataFrame) -> DataFrame:
+    """(word, rule_categories): the single words of a rule set, each once with its categories."""
+    word = F.lower(F.trim("phrase"))
+    return ruleset.select(word.alias("word"), "category").filter(
+        (F.col("word") != "") & ~F.col("word").contains(" ")).groupBy("word").agg(
+        F.array_sort(F.collect_set("category")).alias("rule_categories"))

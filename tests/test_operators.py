@@ -153,6 +153,16 @@ def test_profile_properties(spark):
 
 
 def test_profile_plan(spark):
+    zipf = materialize(frequency.word_zipf(frequency.corpus_words(documents(spark))))
+    norms = materialize(zipf.select("word", *[F.length("word").cast("double").alias(n) for n in (
+        "aoa", "concreteness", "familiarity", "imagery")]))
+    texts = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    whole = profile.profile_flat(profile.sentence_features(texts, zipf=zipf, norms=norms))
+    whole.collect()
+    final = whole._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    scans = [line for line in final.splitlines() if "FileScan parquet" in line and "doc_id" in line]
+    assert len(scans) == 1 and final.count("EvalPython") == 1
+    assert final.count("Exchange hashpartitioning") == 1
     flat = profile.profile_flat(profile.sentence_features(documents(spark), semantic=False))
     plan = flat._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan
@@ -212,11 +222,48 @@ def test_entities_and_pages(spark, tmp_path):
     assert {r.d: r.t for r in pages.concat_pages(parts, ["d"], "n", "t").collect()} == {1: "a\nb", 2: ""}
 
 
-def test_ruleset_lists(spark, tmp_path):
-    (tmp_path / "r.json").write_text('{"first_person": ["i"],\n "connectives": '
-                                     '{"causal_connectives": ["so", "due to"]}}')
-    lists = lexicons.ruleset_lists(lexicons.read_ruleset(spark, str(tmp_path / "r.json")))
-    assert lists == {"first_person": ["i"], "causal": ["so", "due to"]}
+def test_ruleset_as_input_of_the_features(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"first_person": ["they"],\n "connectives": '
+                                     '{"causal_connectives": ["And", "due to"], "logical_connectives": ["and"]}}')
+    ruleset = lexicons.read_ruleset(spark, str(tmp_path / "r.json"))
+    listed = {r.word: r.rule_categories for r in lexicons.ruleset_words(ruleset).collect()}
+    assert listed == {"they": ["first_person"], "and": ["causal", "logical"]}
+    texts = docs_of(spark, "They sat and I ran.")
+    own = profile.sentence_features(texts, semantic=False, ruleset=ruleset).first()
+    built_in = profile.sentence_features(texts, semantic=False).first()
+    assert (own.causal_connectives, own.logical_connectives, own.additive_connectives) == (1, 1, 0)
+    assert (own.first_person_pronouns, built_in.first_person_pronouns) == (1, 1)
+    assert own.connectives_total == 2
+
+
+def test_a_lookup_table_with_a_repeated_key_is_refused(spark):
+    tokens = spark.createDataFrame([(1, 0, "a")], "doc_id int, sent_id int, lower string")
+    table = spark.createDataFrame([("a", 1.0), ("a", 2.0)], "word string, zipf double")
+    with pytest.raises(ValueError):
+        lookup(tokens, table, "lower", "word", ["zipf"], ["doc_id", "sent_id"])
+
+
+def test_order_values_do_not_matter(spark):
+    """Sparse, negative and time-like orders give what dense ones give, in as many tiles."""
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(40, 4)).tolist()
+    results = []
+    for at in (range(40), range(-2_000_000, 2_000_000, 100_000), range(1_700_000_000_000, 1_700_000_000_040)):
+        table = spark.createDataFrame([("g", a, v) for a, v in zip(at, vectors)], "g string, at long, v array<double>")
+        rows = embedding.previous_similarity(table, ["g"], "at", "v", 9).orderBy("at").collect()
+        near = embedding.adjacent_cosine(table, ["g"], "at", "v", 9).orderBy("at").collect()
+        results.append([(r.adjacent, r.mean_previous, r.max_previous, n.adjacent) for r, n in zip(rows, near)])
+    assert len(results[0]) == 40 and results[0] == results[1] == results[2]
+
+
+def test_cells_and_dense_embeddings_agree(spark):
+    sentences = segment.sentences(docs_of(spark, "The cat sat. The dog ran and ran.", "123!"))
+    dense = {(r.doc_id, r.sent_id): r.embedding for r in embedding.hashed_embedding(sentences).collect()}
+    assert len(dense) == sentences.count()
+    cells = {}
+    for r in embedding.hashed_cells(sentences).collect():
+        cells.setdefault((r.doc_id, r.sent_id), {})[r.cell] = r.value
+    assert {k: {i: v for i, v in enumerate(e) if v} for k, e in dense.items() if any(e)} == cells
 
 
 def test_classic_scores(spark):
