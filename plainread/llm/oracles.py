@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from plainread.llm.license_scan import COVERAGE, DRIFT, MIN_VOTES, NOTICES, PHRASES
+
 EXACT_DEDUP = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
 g AS (SELECT body, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY body)
@@ -22,5 +24,72 @@ FROM j
 """
 
 
+SHINGLES = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + least(len(ws), 4) - 1], ' ') AS g
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (
+  SELECT x, y FROM c JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y
+  WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.y) AS component_id
+FROM documents d JOIN r ON r.x = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+
+def license_sql() -> str:
+    """The same votes on flat rows: word pairs joined with the templates' pairs."""
+    rows = ", ".join(f"({i}, '{label}', {str(i < len(PHRASES)).lower()}, '{text}')"
+                     for i, (label, text) in enumerate([*PHRASES, *NOTICES]))
+    return rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+p AS (
+  SELECT doc_id, i - 1 AS place, ws[i] AS a, ws[i + 1] AS b
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w)),
+t(template, label, exact, body) AS (VALUES {rows}),
+g AS (
+  SELECT template, label, exact, len(ws) - 1 AS grams, i - 1 AS spot, ws[i] AS a, ws[i + 1] AS b
+  FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM (SELECT *, string_split(body, ' ') AS ws FROM t))),
+v AS (
+  SELECT doc_id, template, label, exact, grams, place - spot AS diagonal, list(DISTINCT spot) AS ats
+  FROM p JOIN g USING (a, b) GROUP BY ALL),
+base AS (
+  SELECT doc_id, label, true AS exact, diagonal AS first, 1.0::DOUBLE AS share FROM v
+  WHERE exact AND len(ats) = grams),
+o AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER d <= {DRIFT} THEN 0 ELSE 1 END AS opens
+  FROM v WHERE NOT exact AND len(ats) >= least({MIN_VOTES}, grams)
+  WINDOW d AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+b AS (SELECT *, sum(opens) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM o),
+m AS (
+  SELECT doc_id, label, grams, band, template, min(diagonal + list_min(ats)) AS first,
+    max(diagonal + list_max(ats) + 1) AS last, len(list_distinct(flatten(list(ats)))) AS held
+  FROM b GROUP BY ALL),
+spans AS (
+  SELECT * FROM base UNION ALL
+  SELECT doc_id, label, false, first, held::DOUBLE / grams FROM m
+  WHERE held::DOUBLE / grams >= {COVERAGE} AND last - first + 1 <= 2 * (grams + 1)),
+d AS (
+  SELECT doc_id, count(*) FILTER (exact) AS n_base, min(first) FILTER (exact) AS first_word,
+    max(first) FILTER (exact) AS last_word,
+    array_to_string(list_sort(list(DISTINCT label) FILTER (exact)), ',') AS base_labels,
+    array_to_string(list_sort(list(DISTINCT label)), ',') AS labels, max(share) AS score
+  FROM spans GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM w LEFT JOIN d ON w.doc_id = d.doc_id
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op3_warc": WARC, "op8_exact_dedup": EXACT_DEDUP}
+    return {"op3_warc": WARC, "op6_jaccard_join": SHINGLES, "op8_exact_dedup": EXACT_DEDUP,
+            "op9_license_scan": license_sql()}

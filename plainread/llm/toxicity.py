@@ -84,7 +84,7 @@ def _digits(found: re.Match) -> str:
     word = found[0]
     core = word.rstrip("0123456789!|.,;:?)\"'")
     letters = sum("a" <= c <= "z" for c in core)
-    if 2 * letters < len(core):
+    if letters < 2 or 3 * letters < len(core):
         return word
     return "".join(DIGIT.get(c, c) for c in core) + word[len(core):]
 
