@@ -31,26 +31,32 @@ TABLE_COLUMNS = ["tok_idx", "text", "lemma", "pos", "dep", "head_idx", "is_alpha
 
 
 def word_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text",
-                extra: str | None = None) -> DataFrame:
-    """(keys, sent_id, n_chars, [extra], WORD_COLUMNS): token rows of ``docs``.
+                extra: str | None = None, carry: bool = False) -> DataFrame:
+    """(keys, sent_id, n_chars, [extra], [carried], WORD_COLUMNS): token rows of ``docs``.
 
     Narrow: no shuffle.  A document without sentences keeps one row of nulls, so
     that it is not lost.  ``extra`` names an array column with one entry per
-    sentence; its entry is put on every token row of the sentence.
+    sentence; its entry is put on every token row of the sentence.  ``carry`` puts the
+    text itself on the first row of its document, as ``carried``.
     """
     keys = list(keys)
-    more = [] if extra is None else [extra]
+    more = [*([] if extra is None else [extra]), *(["carried"] if carry else [])]
+    docs = docs.select(*docs.columns, F.col(text).alias("carried")) if carry else docs
+    whole = ["carried"] if carry else []
     if extra is None:
-        rows = docs.select(*keys, F.posexplode_outer(sentence_array(F.col(text))).alias(
+        rows = docs.select(*keys, *whole, F.posexplode_outer(sentence_array(F.col(text))).alias(
             "sent_id", "sentence"))
     else:
         both = F.arrays_zip(sentence_array(F.col(text)).alias("sentence"), F.col(extra))
-        rows = docs.select(*keys, F.posexplode_outer(both).alias("sent_id", "s"))
-        rows = rows.select(*keys, "sent_id", F.col("s.sentence").alias("sentence"),
+        rows = docs.select(*keys, *whole, F.posexplode_outer(both).alias("sent_id", "s"))
+        rows = rows.select(*keys, *whole, "sent_id", F.col("s.sentence").alias("sentence"),
                            F.col(f"s.{extra}").alias(extra))
     rows = rows.select(
         *keys, "sent_id", *more, F.length("sentence").alias("n_chars"),
         F.posexplode_outer(token_array(F.col("sentence"))).alias("tok_idx", "text"))
+    if carry:
+        opens = (F.coalesce("sent_id", F.lit(0)) == 0) & (F.coalesce("tok_idx", F.lit(0)) == 0)
+        rows = rows.withColumn("carried", F.when(opens, F.col("carried")))
     word, lower = F.col("text"), F.col("lower")
     rows = rows.withColumn("lower", F.lower("text"))
     rows = rows.withColumn("_suffix", rules.suffix_of(lower))

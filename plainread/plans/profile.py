@@ -38,7 +38,7 @@ COHESION = W.FEATURES[W.FEATURES.index("content_overlap_adjacent"):]
 
 def profile_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text",
                    semantic: bool = True, idf: Sequence[float] | None = None,
-                   clustered: bool = False) -> DataFrame:
+                   clustered: bool = False, carry: bool = False) -> DataFrame:
     """Token rows of ``docs``, spread by the document key, with similarities.
 
     The exchange moves each text once, before it grows into tokens.  Skip it with
@@ -51,7 +51,7 @@ def profile_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str
             sentence_array(F.col(text)), idf))
     if not clustered:
         docs = docs.repartition(*keys)
-    return word_tokens(docs, keys, text, "semantic" if semantic else None)
+    return word_tokens(docs, keys, text, "semantic" if semantic else None, carry)
 
 
 def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
@@ -83,6 +83,9 @@ def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
         **{f"_{n}": c for n, c in document.sentence_counts().items()}}
     if "semantic" in tokens.columns:
         aggregates["semantic"] = F.first("semantic")
+    whole_text = ["carried"] if "carried" in tokens.columns else []
+    if whole_text:
+        aggregates["carried"] = F.first("carried", True)
     fields = ["lemma", "base", "pos", "tense", "aspect", *(["dep", "head_idx"] if own_labels else ["flag", "label"])]
     rows = gather(tokens_seen, keys, fields, aggregates)
     if own_labels:
@@ -101,13 +104,13 @@ def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
         "passive_constructions": syntax.passive_constructions(F.col("dep"), compat),
         "words_before_main_verb": syntax.root_position(F.col("dep")),
         "negations": syntax.label_count(F.col("dep"), "neg")}
-    plain = [n for n in aggregates if not n.startswith("_") and n != "semantic"]
+    plain = [n for n in aggregates if not n.startswith("_") and n not in ("semantic", "carried")]
     rates = [n for n in plain if n in cohesion.word_rates()]
     # Sums over the document, on rows that are already together.
     document_wide = Window.partitionBy(*keys)
     counted = [F.sum(f"_{n}").over(document_wide).alias(n) for n in document.sentence_counts()]
     rows = rows.select(
-        *keys, "sent_id", "semantic", "_alpha", *counted, *[n for n in plain if n not in rates],
+        *keys, "sent_id", "semantic", "_alpha", *whole_text, *counted, *[n for n in plain if n not in rates],
         *[cohesion.later(F.col(n)).alias(n) for n in rates],
         *[c.alias(n) for n, c in own.items()], cohesion.keep().alias("here"))
     rows = cohesion.with_previous(rows, keys)
@@ -120,28 +123,30 @@ def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
     pair = {**cohesion.overlaps(), **cohesion.pos_dissimilarity(), **cohesion.word_dissimilarity(),
             **cohesion.verb_repetition(), **cohesion.type_token_ratio(),
             **cohesion.semantic(F.col("semantic"))}
-    rows = rows.select(*keys, "sent_id", *plain, *own, *document.sentence_counts(), F.struct(
+    rows = rows.select(*keys, "sent_id", *whole_text, *plain, *own, *document.sentence_counts(), F.struct(
         F.col("here.words").alias("words"), F.col("here.content").alias("content")).alias("here"),
         *[c.alias(n) for n, c in pair.items()])
     whole = {**cohesion.document_overlap(compat),
              **{n: cohesion.later(c) for n, c in document.diversity().items()},
              **{n: F.lit(0.0) for n in CONSTANT_FEATURES}}
-    rows = rows.select(*keys, "sent_id", *plain, *own, *pair,
+    rows = rows.select(*keys, "sent_id", *whole_text, *plain, *own, *pair,
                        *[c.alias(n) for n, c in whole.items()])
-    return rows.select(*keys, "sent_id", *W.FEATURES, "negations")
+    return rows.select(*keys, "sent_id", *whole_text, *W.FEATURES, "negations")
 
 
 def sentence_features(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text",
                       zipf: DataFrame | None = None, norms: DataFrame | None = None,
                       embeddings: DataFrame | None = None, compat: bool = False,
                       semantic: bool = True, idf: Sequence[float] | None = None,
-                      clustered: bool = False, ruleset: DataFrame | None = None) -> DataFrame:
+                      clustered: bool = False, ruleset: DataFrame | None = None,
+                      carry: bool = False) -> DataFrame:
     """Features of every sentence of ``docs`` by the built-in annotator.
 
     ``embeddings`` (keys, sent_id, embedding) replaces the built-in provider.
-    Documents without sentences have one row with null ``sent_id``.
+    Documents without sentences have one row with null ``sent_id``.  ``carry`` adds the
+    text of each document, on its first sentence, as ``carried``.
     """
-    tokens = profile_tokens(docs, keys, text, semantic and embeddings is None, idf, clustered)
+    tokens = profile_tokens(docs, keys, text, semantic and embeddings is None, idf, clustered, carry)
     return features_of(tokens, keys, zipf, norms, _similarity(embeddings, keys), compat,
                        ruleset=ruleset)
 
@@ -188,11 +193,12 @@ def profile_flat(features: DataFrame, keys: Sequence[str] = ("doc_id",),
     Empty documents get 0 everywhere.  Unused columns are pruned by the optimizer.
     """
     varying = [f for f in W.FEATURES if f not in CONSTANT_FEATURES]
-    out = features.groupBy(*keys).agg(*[_stat(f, s).alias(f"{f}_{s}")
+    carried = [F.first("carried", True).alias("carried")] if "carried" in features.columns else []
+    out = features.groupBy(*keys).agg(*carried, *[_stat(f, s).alias(f"{f}_{s}")
                                         for f in varying for s in stats])
     constant = [F.lit(0.0).alias(f"{f}_{s}") for f in CONSTANT_FEATURES for s in stats]
     return out.select("*", *constant).select(
-        *keys, *[f"{f}_{s}" for f in W.FEATURES for s in stats])
+        *keys, *(["carried"] if carried else []), *[f"{f}_{s}" for f in W.FEATURES for s in stats])
 
 
 def profile(features: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
@@ -205,7 +211,8 @@ def profile(features: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame
 def profile_means(features: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """(keys, 48 features): the means only, which is what models read."""
     flat = profile_flat(features, keys, ("avg",))
-    return flat.select(*keys, *[F.col(f"{f}_avg").alias(f) for f in W.FEATURES])
+    carried = ["carried"] if "carried" in flat.columns else []
+    return flat.select(*keys, *carried, *[F.col(f"{f}_avg").alias(f) for f in W.FEATURES])
 
 
 def profile_long(flat: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
