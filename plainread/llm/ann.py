@@ -33,11 +33,12 @@ from plainread.session import materialize
 SAMPLE_ROWS = 20_000
 CALIBRATION_ROWS = 256
 BRANCHES = 8
-LEAF_ROWS = 256
+LEAF_ROWS = 2048
 LEAST_SAMPLE = 8
-RECALL = 0.97
+RECALL = 0.95
 TILE_ROWS, TILE_QUERIES = 2048, 512
 SPARE = 16
+NEAR = pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64())]))
 
 
 @dataclass
@@ -172,8 +173,8 @@ def search(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
     total = distinct.count()
     drawn = F.pmod(F.xxhash64("_vector"), F.lit(1 << 30)) < F.lit(
         min(1.0, sample_rows / max(1, total)) * (1 << 30))
-    sample = np.array([r["_vector"] for r in distinct.filter(drawn).select("_vector").collect()], float)
-    if sample.ndim != 2:  # no vector at all
+    sample = matrix(distinct.filter(drawn).select("_vector").toArrow().column(0).combine_chunks())
+    if not len(sample):  # no vector at all
         sample = np.zeros((0, 1))
     share = len(sample) / max(1, total)
     tree = grow(sample, max(LEAST_SAMPLE, int(leaf_rows * share)), BRANCHES)
@@ -240,25 +241,25 @@ def search(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
         if not n or n == len(kind):
             return
         ids = rows_.column("_ids").combine_chunks().slice(n)
-        out: list[tuple[int, int, float]] = []
+        asked_, near_ = [], []
         for i, at, exact in best_of(vectors[:n], vectors[n:], number[n:], k):
             # k best distinct vectors hold the k best rows; each has at most k rows but the query's.
-            own = int(number[i])
-            room = k
+            own, best = int(number[i]), []
             for p, s in zip(at.tolist(), exact.tolist()):
-                if room <= 0:
-                    break
-                others = [v for v in ids[p].as_py() if v != own][:room]
-                out += [(own, v, s) for v in others]
-                room -= len(others)
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(
-            zip(*out), (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"]) if out else \
-            pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int64()),
-                                        pa.array([], pa.float64())], ["query_id", "vec_id", "score"])
-
-    near = laid.mapInArrow(multiply, "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+                if len(best) < k:
+                    best += [{"less": -s, "vec_id": v} for v in ids[p].as_py() if v != own][:k - len(best)]
+            asked_.append(own)
+            near_.append(best)
+        yield pa.RecordBatch.from_arrays([pa.array(asked_, pa.int64()), pa.array(near_, NEAR)],
+                                         ["query_id", "near"])
+
+    found = laid.mapInArrow(multiply, "query_id bigint, near array<struct<less: double, vec_id: bigint>>")
+    # A query has a row a tile, of k candidates each; their number is bounded by the leaves it visits.
+    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    top = found.groupBy("query_id").agg(best.alias("near")).select(
+        "query_id", F.posexplode("near").alias("place", "one"))
+    return top.select("query_id", (F.col("place") + 1).alias("rank"), F.col("one.vec_id").alias("vec_id"),
+                      (-F.col("one.less")).alias("score"))
 
 
 def calibrated(index: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float, rows: int) -> int:

@@ -116,8 +116,7 @@ def test_language_id(spark, docs, none):
     assert model[0] == ["aa", "bb"]
     texts = [("lalo tesa mira", "aa"), ("strak drunk krutz", "bb"), (None, "und"), ("", "und"), ("12 !!", "und")]
     rows = language_id.predict(spark.createDataFrame(texts, "text string, score string"), *model).collect()
-    assert [r.lang_pred for r in rows] == [r["score"] and w for r, (_, w) in zip(rows, texts)] or [
-        r.lang_pred for r in rows] == [w for _, w in texts]
+    assert {r.text: r.lang_pred for r in rows} == dict(texts)
     assert all(0 <= r["score"] <= 1 for r in rows)
     assert language_id.predict(docs, *model).count() == len(TEXTS)
     assert language_id.predict(none, *model).count() == 0
