@@ -14,9 +14,11 @@ Documents are cut freely; each token lies in exactly one piece.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import public_tokenizers
@@ -34,34 +36,66 @@ END = 2
 LENGTH = 4096
 CELLS = 256
 BITS = 16
-CACHE = 150_000
-CACHED_CHARS = 32
+#: Bounds of a generation of remembered words: words, and their characters.
+CACHE, CACHED_CHARS = 500_000, 1 << 23
 DIRECTIONS = np.random.default_rng(7).standard_normal((CELLS, 3))
 
 
 class Encoder:
     """Ids of a text.  No token crosses white space, so words between blanks or line ends, a part
-    of all white space, are encoded alone and short ones remembered."""
+    of all white space, are encoded alone and remembered: in two generations, of which the older is
+    dropped when the younger is full."""
 
     def __init__(self, path: str) -> None:
         self.tool = Tokenizer.from_file(path)
         self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
-        encoder = self
-
-        class Known(dict):
-            def __missing__(self, word: str) -> bytes:
-                ids = np.array(encoder.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                if len(word) <= CACHED_CHARS:
-                    if len(self) >= CACHE:
-                        self.clear()
-                    self[word] = ids
-                return ids
-
-        self.known = Known()
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.chars = 0
+        self.closing = {c: np.array(self.tool.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
 
     def encode(self, text: str) -> np.ndarray:
-        ids = b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
-        return np.append(np.frombuffer(ids, "<u4"), np.uint32(END))
+        words = text.replace("\n", " ").split(" ")
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            if len(self.known) > CACHE or self.chars > CACHED_CHARS:
+                self.known, self.older, self.chars = {}, self.known, 0
+            self.learn({w for w in words if w not in self.known})
+            parts = map(self.known.__getitem__, words)
+        return np.append(np.frombuffer(b"".join(parts), "<u4"), np.uint32(END))
+
+    def learn(self, words: set[str]) -> None:
+        """Adds words.  A word may be known in lower case, or without a comma or full stop after its
+        last letter, which is a token of its own.  The others are encoded together, if normalising
+        keeps their length, and the ids dealt out by their places."""
+        self.chars += sum(map(len, words))
+        plain = []
+        for word in words:
+            ids = self.older.get(word)
+            if ids is None:
+                if not (word.isascii() or unicodedata.is_normalized("NFC", word)
+                        and len(word.lower()) == len(word) and "Σ" not in word):
+                    ids = np.array(self.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+                elif (ids := self.variant(word)) is None:
+                    plain.append(word)
+                    continue
+            self.known[word] = ids
+        if plain:
+            made = self.tool.encode(" ".join(plain), add_special_tokens=False)
+            edges = np.searchsorted(np.array(made.offsets)[:, 0] if made.offsets else [],
+                                    np.cumsum([0, *[len(w) + 1 for w in plain]])) * 4
+            raw = np.array(made.ids, "<u4").tobytes()
+            self.known.update(zip(plain, [raw[a:b] for a, b in pairwise(edges.tolist())]))
+
+
+    def variant(self, word: str) -> bytes | None:
+        low = word.lower()
+        if low != word and (ids := self.known.get(low) or self.older.get(low)):
+            return ids
+        if low[-1:] in (",", ".") and low[-2:-1].isalpha():
+            stem = self.known.get(low[:-1]) or self.older.get(low[:-1])
+            return stem and stem + self.closing[low[-1]]
+        return None
 
 
 @lru_cache(2)
