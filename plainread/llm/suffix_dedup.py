@@ -31,6 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -248,8 +249,10 @@ def repeated_windows(found: DataFrame) -> DataFrame:
             span = judged(len(again), opens, closes)
             take[span] = (again | border)[span]
             chosen = batch.filter(pa.array(take))
+            inner = pa.array(~border[take])  # only border rows need their ranks again
+            first, second = (pc.if_else(inner, None, chosen.column(c)) for c in ("_first", "_second"))
             yield pa.RecordBatch.from_arrays(
-                [*chosen.columns, pa.array(again[take]), pa.array(border[take]),
+                [*map(chosen.column, (*KEY, "_at")), first, second, pa.array(again[take]), pa.array(border[take]),
                  pa.array(np.full(int(take.sum()), part))],
                 [*chosen.schema.names, "_again", "_border", "_part"])
 
