@@ -444,6 +444,22 @@ EMBEDDED = ("pairs AS (SELECT a.label, a.vec_id, b.vec_id AS other, "
             "FROM embeddings a LEFT JOIN embeddings b ON a.label = b.label AND b.vec_id < a.vec_id)")
 
 
+PAGE_TEXT = (r"nullif(trim(regexp_replace(regexp_replace(regexp_replace(html, "
+             r"'(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), "
+             r"'[ \t\n\f\r]+', ' ', 'g')), '')")
+
+
+def entity_sql() -> str:
+    """Pages as documents, joined with the chosen links."""
+    pages = f"text_rows AS (SELECT page_id AS doc_id, {PAGE_TEXT} AS text FROM pages)"
+    chosen = ", ".join(f"round({formula(n)}, 6) AS {n}" for n in FORMULAS)
+    return (f"WITH RECURSIVE {pages}, {base(['doc_id'])}, {COUNTS}, {LINKS}, "
+            f"scored AS (SELECT doc_id, {chosen} FROM counted) "
+            "SELECT entity, link, t.text, " + ", ".join(FORMULAS) + " FROM best b "
+            "LEFT JOIN pages p ON b.link = p.url LEFT JOIN text_rows t ON t.doc_id = p.page_id "
+            "LEFT JOIN scored s ON s.doc_id = p.page_id")
+
+
 def all_sql() -> dict[str, str]:
     lex = (CORPUS_TOK, NORMS)
     sets = {"content_lemmas": f"pos IN {quoted(W.CONTENT_POS)}", "noun_lemmas": "pos = 'NOUN'",
@@ -474,6 +490,7 @@ def all_sql() -> dict[str, str]:
                      r"'[ \t\n\f\r]+', ' ', 'g')), '') AS text FROM pages",
         "first_matching_link": f"WITH {LINKS} SELECT entity, link FROM best",
         "failed_extractions": f"WITH {LINKS} SELECT entity FROM best WHERE link IS NULL",
+        "entity_results": entity_sql(),
         "concat_pages": r"SELECT conv_id, regexp_replace(string_agg(text, chr(10) ORDER BY turn), "
                         r"'^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') AS text FROM conversations "
                         "WHERE text <> '' GROUP BY conv_id",

@@ -208,6 +208,14 @@ def failed_extractions(spark: SparkSession, sf: str) -> DataFrame:
     return entities.failed_extractions(links.select("entity").distinct(), found, ["entity"], "link")
 
 
+def entity_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Hosts with their first matching link, the text behind it, and its classic scores."""
+    found = entities.first_matching_link(page_links(spark, sf), suffix="/")
+    texts = read_table(spark, sf, "pages").select("url", pages.page_text(F.col("html")).alias("text"))
+    rows = scores.entity_results(found, texts)
+    return rows.select("entity", "link", "text", *r6(*scores.FORMULAS))
+
+
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
     return read_table(spark, sf, "pages").select("page_id", pages.page_text(F.col("html")).alias("text"))
 
@@ -513,7 +521,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
              surface_connectives, surface_phrases, function_content_ratio, lexical_syllables,
              doc_lemma_sets, doc_lexical_diversity, cosine_adjacent, cosine_all_previous,
              profile_wide, profile_stats, feature_vector, training_pairs, train_gbt, train_linear,
-             train_from_file, tree_importances, ruleset_features, nested_record, profile_struct,
+             train_from_file, tree_importances, ruleset_features, entity_results, nested_record, profile_struct,
              score_linear, sentence_scores, attributions, score_card]
     out = {f.__name__: f for f in plain}
     out["surface_lengths"] = partial(per_sentence, surface.lengths)
