@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -176,4 +177,7 @@ def read(index: DataFrame, range_bytes: int = RANGE_BYTES, gap_bytes: int = GAP_
 def new_archive(pages: DataFrame) -> str:
     """A fresh folder for archives, in the shared folder of the session, as a URI."""
     path = new_path(pages.sparkSession, "warc")
-    return path if "://" in path or path.startswith("file:") else f"file://{path}"
+    if path.startswith("/"):  # a path of the cluster's default file system
+        default = pages.sparkSession.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+        path = "file:" + path if default.startswith("file:") else default.rstrip("/") + path
+    return path.replace("file:/", "file:///", 1) if re.match("file:/[^/]", path) else path
