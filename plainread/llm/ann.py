@@ -152,6 +152,16 @@ def best_of(queries: np.ndarray, vectors: np.ndarray, first_ids: np.ndarray, k:
         yield i, at[order], exact[order]
 
 
+def others(ids: pa.Array, at: np.ndarray, exact: np.ndarray, own: int, k: int) -> list[dict]:
+    """The k best rows of the vectors ``at``, best first, but those of the query's own id."""
+    best: list[dict] = []
+    for p, s in zip(at.tolist(), exact.tolist()):
+        if len(best) == k:
+            break
+        best += [{"less": -s, "vec_id": v} for v in ids[p].as_py() if v != own][:k - len(best)]
+    return best
+
+
 def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
     """(_vector, _ids): each vector once with its k + 1 smallest ids.  The limit by rank is applied
     before the shuffle as well, so a vector in a third of all rows reaches one task in few rows."""
@@ -242,12 +252,14 @@ def search(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
             return
         ids = rows_.column("_ids").combine_chunks().slice(n)
         asked_, near_ = [], []
-        for i, at, exact in best_of(vectors[:n], vectors[n:], number[n:], k):
-            # k best distinct vectors hold the k best rows; each has at most k rows but the query's.
-            own, best = int(number[i]), []
-            for p, s in zip(at.tolist(), exact.tolist()):
-                if len(best) < k:
-                    best += [{"less": -s, "vec_id": v} for v in ids[p].as_py() if v != own][:k - len(best)]
+        # k distinct vectors hold the k best rows, and the query's own may be one more.
+        for i, at, exact in best_of(vectors[:n], vectors[n:], number[n:], k + 1):
+            own, wide = int(number[i]), k + 1
+            best = others(ids, at, exact, own, k)
+            while len(best) < k and wide < len(vectors) - n:  # its id is repeated with other vectors
+                wide *= 2
+                _, at, exact = next(best_of(vectors[i:i + 1], vectors[n:], number[n:], wide))
+                best = others(ids, at, exact, own, k)
             asked_.append(own)
             near_.append(best)
         yield pa.RecordBatch.from_arrays([pa.array(asked_, pa.int64()), pa.array(near_, NEAR)],
@@ -278,18 +290,21 @@ def calibrated(index: DataFrame, queries: DataFrame, tree: Tree, k: int, recall:
             if not batch.num_rows:
                 continue
             vectors, first = matrix(batch.column("_vector")), np.asarray(batch.column("_first"))
-            leaf = np.asarray(batch.column("_leaf"))
+            leaf, last = np.asarray(batch.column("_leaf")), np.asarray(batch.column("_last"))
             out = [np.empty(0, np.int64)] * 3 + [np.empty(0)]
-            parts = [(np.full(len(at), i), first[at], leaf[at], s)
-                     for i, at, s in best_of(asked, vectors, first, k + 1)]
+            parts = []
+            for i, at, s in best_of(asked, vectors, first, k + 1):
+                # A vector that only the query's own id has is no hit, it is always reached.
+                hit = (first[at] != numbers[i]) | (last[at] != numbers[i])
+                parts.append((np.full(hit.sum(), i), first[at][hit], leaf[at][hit], s[hit]))
             if parts:
                 out = [np.concatenate([p[c] for p in parts]) for c in range(4)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["_q", "_first", "_leaf", "_s"])
 
-    found = index.select("_vector", "_first", "_leaf").mapInArrow(
+    found = index.select("_vector", "_first", F.element_at("_ids", -1).alias("_last"), "_leaf").mapInArrow(
         exact, "_q bigint, _first bigint, _leaf bigint, _s double")
     rank = F.row_number().over(Window.partitionBy("_q").orderBy(F.desc("_s"), "_first"))
-    top = found.withColumn("_rank", rank).filter(F.col("_rank") <= k + 1).select("_q", "_leaf").collect()
+    top = found.withColumn("_rank", rank).filter(F.col("_rank") <= k).select("_q", "_leaf").collect()
     wanted: dict[int, list[int]] = {}
     for r in top:
         wanted.setdefault(r["_q"], []).append(r["_leaf"])

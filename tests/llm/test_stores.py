@@ -74,6 +74,32 @@ def test_ann(spark):
     assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
+def test_ann_gives_k_rows(spark):
+    """One tile, every query's own vector the best: the k-th neighbour is there all the same."""
+    vectors = np.random.default_rng(6).standard_normal((400, 16))
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    want = exact_neighbours(rows, lambda q: q % 20 == 0, 20)
+    got = {}
+    for r in ann.search(table, F.col("vec_id") % 20 == 0, 20).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    assert {q: [v for _, v in sorted(found)] for q, found in got.items()} == want
+    assert all([i for i, _ in sorted(found)] == list(range(1, 21)) for found in got.values())
+    again = table.union(spark.createDataFrame([(0, [x * (2 + i) for x in rows[0][1]]) for i in range(25)], table.schema))
+    found = ann.search(again, (F.col("vec_id") == 0) & (F.element_at("embedding", 1) == rows[0][1][0]), 20).collect()
+    assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == want[0]  # its own id has the 26 best vectors
+
+
+def test_ann_counts_no_own_vector(spark):
+    """A query's own vector, always in the first leaf it visits, is no hit of the calibration."""
+    tree = ann.Tree(np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]]), [[1, 2], [], []], [-1, 0, 1])
+    index = spark.createDataFrame([([1.0, 0.9], [7], 7, 0), ([0.5, 0.6], [8], 8, 1)],
+                                  "_vector array<double>, _ids array<bigint>, _first bigint, _leaf bigint")
+    queries = spark.createDataFrame([(7, [1.0, 0.9])], "_query bigint, _asked array<double>")
+    assert ann.calibrated(index, queries, tree, 1, 0.5, 10) == 2
+
+
 def test_components(spark):
     rng = random.Random(1)
     pairs = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 200)] + [
