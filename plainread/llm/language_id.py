@@ -7,6 +7,12 @@ the languages.  A text gets the language whose prototype has the largest cosine
 
 Texts are lower-cased; what is no letter becomes one blank, so n-grams cross word borders.
 
+Whether a text is in its language at all is judged by ``fits``: the cosine with the language's own
+prototype, nothing subtracted, against bounds by text length that ``fit_bounds`` learns from pieces of
+training texts.  The least of two bounds holds: far below what pieces of the language have, and above what
+pieces of the other languages seldom reach.  Texts too short to tell fit.  A text below its bound is judged
+again by its distinct words, as one word many times over says no more than once.
+
 Defined results: null texts and texts without a letter give ``und`` with score 0; without
 any training row every text gives ``und`` with score 0; ties go to the language first in
 order; repeated rows get a row each; an empty table gives an empty table; only text and language
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +37,17 @@ GRAM = 3
 #: Bound of the training sample, rows of a language.
 SAMPLE_ROWS = 4000
 SHARPNESS = 20.0
+#: Pieces of 2^i letters: least and largest i, pieces of a text at each, texts of a language, and how many
+#: a bound needs.
+LEAST_SIZE, MOST_SIZE = 3, 12
+PIECES = 4
+BOUND_ROWS = 1000
+LEAST_PIECES = 20
+#: A bound lies so many standard deviations (from the lower quartile) under the median of the language's
+#: own pieces, or this share of the way to that median from this quantile of the pieces of others.
+SPREADS = 3.0
+STRANGERS = 0.99
+NEARER = 0.2
 UNDETERMINED = "und"
 DOCS_AT_ONCE = 256
 CHARS_AT_ONCE = 1 << 20
@@ -46,6 +64,10 @@ def letters(text: str) -> np.ndarray:
     return np.frombuffer(f" {folded} ".encode("utf-32-le", "replace"), np.uint32)
 
 
+def distinct_words(text: str) -> str:
+    return " ".join(dict.fromkeys(GAPS.sub(" ", text.lower()).split()))
+
+
 class Encoder:
     """Document vectors; letter vectors come from their code points alone."""
 
@@ -119,15 +141,20 @@ class Encoder:
 
     def batches(self, rows: Iterator[str]) -> Iterator[np.ndarray]:
         """Document vectors of bounded blocks of texts."""
+        for _, vectors in self.sized(map(letters, rows)):
+            yield vectors
+
+    def sized(self, rows: Iterator[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same with the texts' numbers of letters."""
         held, chars = [], 0
-        for text in rows:
-            held.append(letters(text))
-            chars += len(held[-1])
+        for codes in rows:
+            held.append(codes)
+            chars += len(codes)
             if len(held) == DOCS_AT_ONCE or chars > CHARS_AT_ONCE:
-                yield self.vectors(held)
+                yield np.array([len(d) for d in held]), self.vectors(held)
                 held, chars = [], 0
         if held:
-            yield self.vectors(held)
+            yield np.array([len(d) for d in held]), self.vectors(held)
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -139,13 +166,29 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: i
         dimensions: int = DIMENSIONS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes).  Of each language about ``sample_rows`` rows at most are used,
     drawn by the hash of the text; rows with a null language are not."""
+    languages, matrix = fit_plain(train, text, lang, sample_rows, dimensions, gram)
+    return languages, centred(matrix)
+
+
+def centred(matrix: np.ndarray) -> np.ndarray:
+    return unit(matrix - matrix.mean(axis=0) if len(matrix) > 1 else matrix)
+
+
+def draw(train: DataFrame, text: str, lang: str, sample_rows: int) -> DataFrame:
+    """(_lang, _text) of the training sample."""
     rows = train.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text")).filter(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     sizes = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
     share = F.lit(float(sample_rows)) / F.col("_n")
-    drawn = rows.join(F.broadcast(sizes), "_lang").filter(
+    return rows.join(F.broadcast(sizes), "_lang").filter(
         F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < share * (1 << 20)).select("_lang", "_text")
 
+
+def fit_plain(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS,
+              dimensions: int = DIMENSIONS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
+    """The same before the mean over the languages is subtracted."""
+    drawn = draw(train, text, lang, sample_rows)
+
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, sums = Encoder(dimensions, gram), {}
         for batch in batches:
@@ -166,14 +209,83 @@ def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: i
     # A row a language: the size is that of the set of languages, not of the corpus.
     found = sorted((r["_lang"], [x["_x"] for x in r["_all"]]) for r in prototypes.collect())
     matrix = unit(np.array([v for _, v in found]).reshape(len(found), dimensions))
-    return [name for name, _ in found], unit(matrix - matrix.mean(axis=0) if len(found) > 1 else matrix)
+    return [name for name, _ in found], matrix
+
+
+@dataclass
+class Bounds:
+    plain: np.ndarray  # prototypes, nothing subtracted
+    least: np.ndarray  # a row a language: the bound for texts of 2^i letters or more, -1 where none is known
+
+    def fits(self, vectors: np.ndarray, sizes: np.ndarray, best: np.ndarray) -> np.ndarray:
+        place = np.minimum(np.log2(np.maximum(sizes, 1)).astype(int), self.least.shape[1] - 1)
+        own = (unit(vectors) * self.plain[best]).sum(axis=1)
+        return (own >= self.least[best, place]) & vectors.any(axis=1)
+
+
+def fit_bounds(train: DataFrame, languages: list[str], plain: np.ndarray, text: str = "text", lang: str = "lang",
+               sample_rows: int = BOUND_ROWS, gram: int = GRAM) -> Bounds:
+    """Bounds from pieces of a sample of ``train``; ``plain`` as ``fit_plain`` gives it."""
+    least = np.full((len(languages), MOST_SIZE + 1), -1.0)
+    number = {name: i for i, name in enumerate(languages)}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = Encoder(plain.shape[1], gram)
+        for batch in batches:
+            owners: list[int] = []
+
+            def pieces() -> Iterator[np.ndarray]:
+                for name, value in zip(batch.column("_lang").to_pylist(), texts(batch, "_text")):
+                    codes = letters(value)
+                    for i in range(LEAST_SIZE, MOST_SIZE + 1):
+                        fit_in = min(PIECES, len(codes) >> i)
+                        for j in range(fit_in):
+                            begin = j * (len(codes) // fit_in)
+                            owners.append(number.get(name, -1))
+                            yield codes[begin:begin + (1 << i)]
+
+            low = 0
+            for sizes, vectors in tool.sized(pieces()):
+                here = np.array(owners[low:low + len(sizes)])
+                low += len(sizes)
+                near = (unit(vectors) @ plain.T.astype(np.float32)).astype(float)
+                at = np.arange(len(here))
+                own = near[at, here]
+                near[at, here] = -np.inf
+                other = near.max(axis=1)
+                length = np.log2(sizes).astype(np.int32)
+                for name, cosine in ((here, own), (np.full(len(here), -1), other)):
+                    fine = (here >= 0) & (cosine > -np.inf)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(name[fine].astype(np.int32)), pa.array(length[fine]), pa.array(cosine[fine])],
+                        ["_l", "_i", "_cos"])
+
+    if not len(languages):
+        return Bounds(plain, least)
+    found = draw(train, text, lang, sample_rows).mapInArrow(measure, "_l int, _i int, _cos double")
+    # A row a language and length; those of all strangers have the language -1.
+    marks = {(r["_l"], r["_i"]): r for r in found.groupBy("_l", "_i").agg(
+        F.count("*").alias("n"), F.percentile("_cos", F.lit(0.25)).alias("quarter"),
+        F.percentile("_cos", F.lit(0.5)).alias("half"), F.percentile("_cos", F.lit(STRANGERS)).alias("high")).collect()}
+    marks = {key: r for key, r in marks.items() if r["n"] >= LEAST_PIECES}
+    for a in range(len(languages)):
+        high = None
+        for i in range(LEAST_SIZE, MOST_SIZE + 1):
+            least[a, i] = least[a, i - 1]  # texts fit the better the longer they are
+            high = marks[-1, i]["high"] if (-1, i) in marks else high
+            if own := marks.get((a, i)):
+                least[a, i] = own["half"] - SPREADS * (own["half"] - own["quarter"]) / 0.6745
+                if high is not None:
+                    least[a, i] = min(least[a, i], high + NEARER * (own["half"] - high))
+    return Bounds(plain, least)
 
 
 def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text: str = "text",
-            keep: list[str] | None = None, gram: int = GRAM) -> DataFrame:
-    """The ``keep`` columns (default all) with lang_pred and score.
+            keep: list[str] | None = None, gram: int = GRAM, bounds: Bounds | None = None) -> DataFrame:
+    """The ``keep`` columns (default all) with lang_pred and score, and with ``bounds`` also fits.
 
-    The score is the softmax weight of the best language over its cosines.
+    The score is the softmax weight of the best language over its cosines; fits says whether the
+    text is in that language at all.
     """
     columns = docs.columns if keep is None else keep
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
@@ -183,20 +295,33 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Encoder(model.shape[1] if model.size else DIMENSIONS, gram)
         for batch in batches:
-            names, scores = [], []
+            names, scores, fits = [], [], []
             if not len(languages):
                 names, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
+                fits = [False] * batch.num_rows
             else:
-                for vectors in tool.batches(texts(batch, "_text")):
+                for sizes, vectors in tool.sized(map(letters, texts(batch, "_text"))):
                     near = (unit(vectors) @ model.T).astype(float)
                     best = near.argmax(axis=1)
                     weight = np.exp(SHARPNESS * (near - near.max(axis=1, keepdims=True)))
                     known = vectors.any(axis=1)
                     names += [languages[b] if k else UNDETERMINED for b, k in zip(best, known)]
                     scores += np.where(known, 1 / weight.sum(axis=1), 0.0).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("_row"), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
-                ["_row", "lang_pred", "score"])
+                    if bounds:
+                        fits += bounds.fits(vectors, sizes, best).tolist()
+                if bounds:
+                    again = [i for i, (name, fit) in enumerate(zip(names, fits)) if name != UNDETERMINED and not fit]
+                    short = (distinct_words(batch.column("_text")[i].as_py()) for i in again)
+                    low = 0
+                    for sizes, vectors in tool.sized(map(letters, short)):
+                        part = again[low:low + len(sizes)]
+                        low += len(sizes)
+                        best = np.array([languages.index(names[i]) for i in part])
+                        for i, fit in zip(part, bounds.fits(vectors, sizes, best).tolist()):
+                            fits[i] = fit
+            columns_ = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *columns_[:len(made_)]], ["_row", *made_])
 
-    made = rows.mapInArrow(nearest, carried(rows, "_row", "lang_pred string, score double"))
-    return unpacked(made, "_row", columns, ["lang_pred", "score"])
+    made_ = ["lang_pred", "score", *["fits"] * bool(bounds)]
+    types = "lang_pred string, score double" + ", fits boolean" * bool(bounds)
+    return unpacked(rows.mapInArrow(nearest, carried(rows, "_row", types)), "_row", columns, made_)

@@ -12,6 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from plainread.llm import (
     byte_bpe,
     exact_dedup,
@@ -320,3 +321,23 @@ def test_threshold_bounds():
     for n in range(1, 200):
         need = -(-n * 85 // 100)
         assert need == math.ceil(n * 85 / 100 - 1e-9)
+
+
+def test_texts_in_no_learned_language(spark):
+    """Clean texts stay, short ones and one word over and over too; an unlearned language and random letters go."""
+    rng = random.Random(8)
+    known = {l: ["".join(rng.choices(l, k=rng.randint(2, 7))) for _ in range(60)] for l in ("abcdefgh", "ijklmnop", "abijqrst")}
+    other = ["".join(rng.choices("aeioqcgkmu", k=rng.randint(2, 7))) for _ in range(60)]
+    rows, stay = [], set()
+    for l, vocabulary in known.items():
+        for n in (1, 2, 3, 5, 20, 100, 300) * 8:
+            rows.append((len(rows), " ".join(rng.choices(vocabulary, k=n)), l))
+    rows.append((len(rows), " ".join(vocabulary[:1] * 300), l))
+    stay = {r[0] for r in rows}
+    junk = "".join(map(chr, range(97, 123)))
+    # Ids of the held-out part, so that nothing is learned from them.
+    ids = (i for i in range(10_000, 20_000) if zlib.crc32(str(i).encode()) % 4 == 2)
+    rows += [(next(ids), " ".join(rng.choices(other, k=n)), "x") for n in (40, 100, 300)]
+    rows += [(next(ids), " ".join("".join(rng.choices(junk, k=rng.randint(2, 9))) for _ in range(n)), "x") for n in (40, 400)]
+    left = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "")
+    assert {r.doc_id for r in left.collect()} == stay
