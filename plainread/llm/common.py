@@ -38,7 +38,8 @@ def unpacked(table: DataFrame, row: str, columns: Sequence[str], made: Sequence[
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str) -> tuple[Column, Column]:
-    """What tells rows apart: hashes of the id and of the text.  Rows that agree in both are
+    """What tells rows apart: 64-bit hashes of the id and, with another seed, of the text, which also
+    tells texts apart where many rows share one id or have none.  Rows that agree in both are
     copies under one id, whose results are the same."""
     return (F.xxhash64(F.col(doc_id)).alias("_row"),
-            F.hash(F.coalesce(F.col(text), F.lit(""))).alias("_mark"))
+            F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit(""))).alias("_mark"))

@@ -149,7 +149,7 @@ def anchor_runs(rows: DataFrame, length: int) -> DataFrame:
                      pa.array(run.view(np.int64))],
                     [*KEY, "_from", "_count", "_anchor", "_run"])
 
-    return rows.mapInArrow(find, "_row bigint, _mark int, _from bigint, _count int, _anchor bigint, _run bigint")
+    return rows.mapInArrow(find, "_row bigint, _mark bigint, _from bigint, _count int, _anchor bigint, _run bigint")
 
 
 def sorted_by(table: DataFrame, *columns: str) -> DataFrame:
@@ -207,7 +207,7 @@ def repeated_runs(runs: DataFrame) -> DataFrame:
                 [*KEY, "_from", "_count", "_whole", "_look"])
 
     return sorted_by(runs, "_anchor", "_run", "_row", "_from").mapInArrow(
-        judge, "_row bigint, _mark int, _from bigint, _count int, _whole boolean, _look boolean")
+        judge, "_row bigint, _mark bigint, _from bigint, _count int, _whole boolean, _look boolean")
 
 
 def windows(joined: DataFrame, length: int) -> DataFrame:
@@ -223,7 +223,7 @@ def windows(joined: DataFrame, length: int) -> DataFrame:
                 for begin, count in zip(found.field("_from").to_pylist(), found.field("_count").to_pylist()):
                     h = ranks(prefix_sums(data[begin:begin + count + length - 1]), half)
                     out[0].append(np.full(count, batch.column("_row")[i].as_py()))
-                    out[1].append(np.full(count, batch.column("_mark")[i].as_py(), np.int32))
+                    out[1].append(np.full(count, batch.column("_mark")[i].as_py(), np.int64))
                     out[2].append(np.arange(begin, begin + count))
                     out[3].append(h[:count].view(np.int64))
                     out[4].append(h[half:half + count].view(np.int64))
@@ -231,7 +231,7 @@ def windows(joined: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out],
                                                  [*KEY, "_at", "_first", "_second"])
 
-    return joined.mapInArrow(rank, "_row bigint, _mark int, _at bigint, _first bigint, _second bigint")
+    return joined.mapInArrow(rank, "_row bigint, _mark bigint, _at bigint, _first bigint, _second bigint")
 
 
 def repeated_windows(found: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def repeated_windows(found: DataFrame) -> DataFrame:
                 [*chosen.schema.names, "_again", "_border", "_part"])
 
     made = materialize(sorted_by(found, "_first", "_second", "_row", "_at").mapInArrow(
-        judge, "_row bigint, _mark int, _at bigint, _first bigint, _second bigint, _again boolean, "
+        judge, "_row bigint, _mark bigint, _at bigint, _first bigint, _second bigint, _again boolean, "
         "_border boolean, _part bigint"), "windows")
     borders = made.filter("_border")
     met = borders.groupBy("_first", "_second").agg(F.countDistinct("_part").alias("_n")).filter("_n > 1")

@@ -23,6 +23,7 @@ from plainread.llm import (
     suffix_dedup,
     toxicity,
 )
+from plainread.llm.common import keyed
 
 #: Extra columns named like columns that operators make or use inside.
 CLASHES = "score double, kept string, keep_id string, _row string, _id int, _text string, sequence_id int"
@@ -341,3 +342,19 @@ def test_texts_in_no_learned_language(spark):
     rows += [(next(ids), " ".join("".join(rng.choices(junk, k=rng.randint(2, 9))) for _ in range(n)), "x") for n in (40, 400)]
     left = corpus_pipeline.identify_language(spark, spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), "")
     assert {r.doc_id for r in left.collect()} == stay
+
+
+def test_rows_without_an_id(spark):
+    """Texts under null ids stay apart where their 32-bit hashes agree."""
+    body = words(50, 90)
+    table = spark.range(200_000).select(F.concat(F.lit(body + " "), F.col("id").cast("string"), F.lit(" end")).alias("text"))
+    pair = F.array_sort(F.collect_list("text"))
+    two = table.groupBy(F.hash("text")).agg(pair.alias("both")).filter("size(both) > 1").orderBy("both").first().both[:2]
+    rows = [(None, two[0]), (None, two[1]), (None, words(51, 20)), (None, words(51, 20))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert docs.select(*keyed(docs, "text", "doc_id")).distinct().count() == 3
+    assert jaccard_join.keep_one(docs, percent=100).count() == 3
+    got = suffix_dedup.remove_repeats(docs).collect()
+    want = removed([t for _, t in rows], 400)
+    assert sorted(bytes(r.kept) for r in got) == sorted(
+        np.frombuffer(t.encode(), np.uint8)[~gone].tobytes() for (_, t), gone in zip(rows, want))
