@@ -358,3 +358,55 @@ def test_rows_without_an_id(spark):
     want = removed([t for _, t in rows], 400)
     assert sorted(bytes(r.kept) for r in got) == sorted(
         np.frombuffer(t.encode(), np.uint8)[~gone].tobytes() for (_, t), gone in zip(rows, want))
+
+
+def test_pipeline_run(spark, tmp_path):
+    """run() against plain Python of its five decisions."""
+    rng = random.Random(9)
+    vocabularies = [["".join(rng.choices(l, k=rng.randint(2, 7))) for _ in range(60)] for l in ("abcdefgh", "ijklmnop", "abijqrst")]
+    made = [(l, rng.choices(v, k=rng.randint(100, 160))) for l, v in enumerate(vocabularies) for _ in range(30)]
+    for l, w in made[::9]:
+        made.append((l, w))  # a copy
+        made.append((l, [*w[:50], "abij", *w[51:]]))  # a near copy
+        made.append((l, [*w[:60], *rng.choices(vocabularies[l], k=60), "ij"]))  # less than 0.8
+    for l, w in made[4:30:6]:
+        made.append((l, [*rng.choices(vocabularies[l], k=90), *w[:95], *rng.choices(vocabularies[l], k=40)]))  # a passage
+    rng.shuffle(made)
+    rows = [(i, " ".join(w), f"l{l}") for i, (l, w) in enumerate(made)]
+    junk = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(200))
+    held = [i for i in range(1000, 2000) if zlib.crc32(str(i).encode()) % 4 == 2][:3]
+    gone = [(held[0], None, "l0"), (held[1], "12 !!", "l0"), (held[2], junk, "l0")]
+    spark.createDataFrame([(i, t, l, "s", len(t or "")) for i, t, l in rows + gone],
+                          "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    best = {}
+    for i, t, _ in rows:
+        best[t] = max(i, best.get(t, -1))
+    left = sorted((i, t) for t, i in best.items())
+    sets = [shingle_set(t, 5) for _, t in left]
+    root = list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    single = [left[i] for i in range(len(left)) if root[i] == i]
+    cut = removed([t for _, t in single], 400)
+    assert len(rows) > len(left) > len(single) and any(g.any() for g in cut)
+    tool = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    tool.encode_special_tokens = True
+    want = {}
+    for (i, t), g in zip(single, cut):
+        body = np.frombuffer(t.encode(), np.uint8)[~g].tobytes().decode()
+        want[i] = tool.encode(body, add_special_tokens=False).ids + [packing.END]
+    got, places = {}, {}
+    for r in sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids = np.frombuffer(bytes(r.ids), "<u4").tolist()
+        got.setdefault(r.doc_id, []).extend(ids)
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+        assert len(ids) == r.length and r.doc_tokens == len(want[r.doc_id])
+    assert got == want
+    for pieces in places.values():  # sequences have no gaps and are full, or a power of two
+        pieces.sort()
+        assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
+        total = sum(n for _, n in pieces)
+        assert total <= 4096 and total & (total - 1) == 0
