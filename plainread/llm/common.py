@@ -19,12 +19,16 @@ def type_of(table: DataFrame, column: str) -> str:
     return table.schema[column].dataType.simpleString()
 
 
-def texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
-    """The texts of a batch one by one, null as empty; only one is a Python object at a time."""
-    for value in batch.column(column):
+def each(column: pa.Array) -> Iterator[str]:
+    """The texts of a column one by one, null as empty; only one is a Python object at a time."""
+    for value in column:
         yield value.as_py() or ""
 
 
+def texts(batch: pa.RecordBatch, column: str) -> Iterator[str]:
+    return each(batch.column(column))
+
+
 def carried(table: DataFrame, column: str, made: str) -> T.StructType:
     """Schema of a mapInArrow result: one column as it is, and the made ones."""
     return T.StructType([table.schema[column], *T.StructType.fromDDL(made)])

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from plainread.llm.common import carried, texts, unpacked
+from plainread.llm.common import each, texts
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -165,7 +166,7 @@ def unit(vectors: np.ndarray) -> np.ndarray:
 def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS,
         dimensions: int = DIMENSIONS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes).  Of each language about ``sample_rows`` rows at most are used,
-    drawn by the hash of the text; rows with a null language are not."""
+    drawn by a hash of the row; rows with a null language are not."""
     languages, matrix = fit_plain(train, text, lang, sample_rows, dimensions, gram)
     return languages, centred(matrix)
 
@@ -175,13 +176,17 @@ def centred(matrix: np.ndarray) -> np.ndarray:
 
 
 def draw(train: DataFrame, text: str, lang: str, sample_rows: int) -> DataFrame:
-    """(_lang, _text) of the training sample."""
-    rows = train.select(F.col(lang).cast("string").alias("_lang"), F.col(text).alias("_text")).filter(
+    """(_lang, _text) of the training sample: about ``sample_rows`` rows of a language, drawn by a hash
+    of the whole row, so texts that are repeated under other ids enter in their share; rows alike in
+    all columns count once."""
+    whole = [F.col(f"`{f.name}`") for f in train.schema if isinstance(f.dataType, T.AtomicType)]
+    rows = train.select(F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").alias("_text"),
+                        F.xxhash64(*whole).alias("_key")).filter(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull())
     sizes = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
     share = F.lit(float(sample_rows)) / F.col("_n")
-    return rows.join(F.broadcast(sizes), "_lang").filter(
-        F.pmod(F.xxhash64("_text"), F.lit(1 << 20)) < share * (1 << 20)).select("_lang", "_text")
+    drawn = rows.join(F.broadcast(sizes), "_lang").filter(F.pmod("_key", F.lit(1 << 20)) < share * (1 << 20))
+    return drawn.groupBy("_lang", "_key").agg(F.first("_text").alias("_text")).select("_lang", "_text")
 
 
 def fit_plain(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS,
@@ -288,19 +293,21 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
     text is in that language at all.
     """
     columns = docs.columns if keep is None else keep
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"),
-                       F.col(f"`{text}`").alias("_text"))
+    made = ["lang_pred", "score", *["fits"] * bool(bounds)]
+    types = "lang_pred string, score double" + ", fits boolean" * bool(bounds)
     model = prototypes.astype(np.float32)
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only the text goes to the Python worker, only the findings come back: the row stays in the JVM.
+    @F.arrow_udf(f"struct<{types.replace(' ', ':').replace(',:', ',')}>")
+    def nearest(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tool = Encoder(model.shape[1] if model.size else DIMENSIONS, gram)
-        for batch in batches:
+        for column in parts:
             names, scores, fits = [], [], []
             if not len(languages):
-                names, scores = [UNDETERMINED] * batch.num_rows, [0.0] * batch.num_rows
-                fits = [False] * batch.num_rows
+                names, scores = [UNDETERMINED] * len(column), [0.0] * len(column)
+                fits = [False] * len(column)
             else:
-                for sizes, vectors in tool.sized(map(letters, texts(batch, "_text"))):
+                for sizes, vectors in tool.sized(map(letters, each(column))):
                     near = (unit(vectors) @ model.T).astype(float)
                     best = near.argmax(axis=1)
                     weight = np.exp(SHARPNESS * (near - near.max(axis=1, keepdims=True)))
@@ -311,7 +318,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
                         fits += bounds.fits(vectors, sizes, best).tolist()
                 if bounds:
                     again = [i for i, (name, fit) in enumerate(zip(names, fits)) if name != UNDETERMINED and not fit]
-                    short = (distinct_words(batch.column("_text")[i].as_py()) for i in again)
+                    short = (distinct_words(column[i].as_py()) for i in again)
                     low = 0
                     for sizes, vectors in tool.sized(map(letters, short)):
                         part = again[low:low + len(sizes)]
@@ -319,9 +326,12 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
                         best = np.array([languages.index(names[i]) for i in part])
                         for i, fit in zip(part, bounds.fits(vectors, sizes, best).tolist()):
                             fits[i] = fit
-            columns_ = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), *columns_[:len(made_)]], ["_row", *made_])
-
-    made_ = ["lang_pred", "score", *["fits"] * bool(bounds)]
-    types = "lang_pred string, score double" + ", fits boolean" * bool(bounds)
-    return unpacked(rows.mapInArrow(nearest, carried(rows, "_row", types)), "_row", columns, made_)
+            found = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(fits, pa.bool_())]
+            yield pa.StructArray.from_arrays(found[:len(made)], made)
+
+    # Not to be evaluated again where its fields are used or filtered.
+    found = nearest.asNondeterministic()(F.col(f"`{text}`"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns if c not in made] or [F.lit(0)]).alias("_row"),
+                       found.alias("_found"))
+    return rows.select(*[F.col("_row")[c].alias(c) for c in columns if c not in made],
+                       *[F.col("_found")[m].alias(m) for m in made])
