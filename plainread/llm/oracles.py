@@ -90,6 +90,98 @@ FROM w LEFT JOIN d ON w.doc_id = d.doc_id
 """
 
 
+def crc32_sql(text: str) -> str:
+    """crc32 (IEEE) of a text's UTF-8 bytes: a table ``crc`` of 256 entries made by the rule, folded over the bytes."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)),
+      lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])))"""
+
+
+CRC_TABLE = """
+crc_table AS (SELECT list_transform(range(256), lambda i: list_reduce(
+  list_prepend(i, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS crc)"""
+
+SPELLING = rf"""
+WITH RECURSIVE {CRC_TABLE},
+r AS (
+  SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents)
+  WHERE length(w) >= 6 GROUP BY ALL),
+h AS (SELECT w, c, {crc32_sql("coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w")} AS h FROM r, crc_table),
+t AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(w, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2)
+    ELSE w END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM t WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+d AS (
+  SELECT word, i, left(word, CAST(i AS INT)) || substr(word, CAST(i AS INT) + 2) AS cut
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM v)),
+p AS (
+  SELECT a.word, b.word AS other FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT d.word, v.word FROM d JOIN v ON d.cut = v.word
+  UNION SELECT v.word, d.word FROM d JOIN v ON d.cut = v.word),
+m AS (
+  SELECT p.word, count(*) AS n_near, min({{'n': -v.n, 'other': p.other}}) AS best
+  FROM p JOIN v ON v.word = p.other GROUP BY p.word),
+f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN -best.n >= 5 * v.n THEN best.other END AS form,
+    CASE WHEN -best.n >= 5 * v.n THEN -best.n END AS form_n
+  FROM v LEFT JOIN m ON m.word = v.word),
+s AS (
+  SELECT word, word AS spot, form AS next FROM f
+  UNION ALL SELECT s.word, f.word, f.form FROM s JOIN f ON f.word = s.next)
+SELECT f.word, f.form, s.spot AS root, f.n, f.n_near, f.form_n FROM f JOIN s ON s.word = f.word AND s.next IS NULL
+"""
+
+
+def merkle_sql() -> str:
+    """Levels of runs by a recursion over rows, then a recursion up each document's runs."""
+    def leaf(text: str) -> str:
+        fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    left = "array_to_string(ds[1:p.spot % 16], '')"
+    right = "array_to_string(ds[p.spot % 16 + 2:], '')"
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS spot, count(*) OVER (PARTITION BY k) AS n
+  FROM (SELECT doc_id, coalesce('=' || source, '') AS k, {leaf("text")} AS leaf,
+    CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(lower)} END AS changed FROM documents, crc_table)),
+t AS (
+  SELECT k, 0 AS level, spot, leaf AS digest, n FROM l
+  UNION ALL
+  SELECT k, level + 1, spot // 16, sha256(string_agg(digest, '' ORDER BY spot)), (any_value(n) + 15) // 16
+  FROM t WHERE n > 1 GROUP BY k, level, spot // 16),
+u AS (
+  SELECT k, 0 AS level, row_number() OVER (ORDER BY k) - 1 AS spot, digest, count(*) OVER () AS n FROM t WHERE n = 1
+  UNION ALL
+  SELECT any_value(k), level + 1, spot // 16, sha256(string_agg(digest, '' ORDER BY spot)), (any_value(n) + 15) // 16
+  FROM u WHERE n > 1 GROUP BY level, spot // 16),
+runs AS (
+  SELECT k, level, spot // 16 AS run, list(digest ORDER BY spot) AS ds FROM t WHERE n > 1 GROUP BY ALL),
+tops AS (SELECT level, spot // 16 AS run, list(digest ORDER BY spot) AS ds FROM u WHERE n > 1 GROUP BY ALL),
+up AS (
+  SELECT l.k, l.spot AS leaf_at, 0 AS level, l.spot AS spot, coalesce(l.changed, l.leaf) AS value, '' AS beside FROM l
+  UNION ALL
+  SELECT p.k, leaf_at, p.level + 1, p.spot // 16, sha256({left} || value || {right}), beside || {left} || {right}
+  FROM up p JOIN runs ON runs.k = p.k AND runs.level = p.level AND runs.run = p.spot // 16),
+sub AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY k, leaf_at ORDER BY level DESC) = 1),
+top AS (
+  SELECT sub.k, leaf_at, 0 AS level, u.spot, value, beside, u.digest AS subroot
+  FROM sub JOIN u ON u.k = sub.k AND u.level = 0
+  UNION ALL
+  SELECT p.k, leaf_at, p.level + 1, p.spot // 16, sha256({left} || value || {right}), beside || {left} || {right}, subroot
+  FROM top p JOIN tops ON tops.level = p.level AND tops.run = p.spot // 16),
+done AS (SELECT * FROM top QUALIFY row_number() OVER (PARTITION BY k, leaf_at ORDER BY level DESC) = 1),
+r AS (SELECT digest AS root FROM u WHERE n = 1)
+SELECT l.doc_id, l.leaf, done.subroot, r.root, sha256(beside) AS proof_sha256, value AS folded_root,
+  value = r.root AS verified
+FROM l JOIN done ON done.k = l.k AND done.leaf_at = l.spot, r
+"""
+
+
 def all_sql() -> dict[str, str]:
     return {"op3_warc": WARC, "op6_jaccard_join": SHINGLES, "op8_exact_dedup": EXACT_DEDUP,
-            "op9_license_scan": license_sql()}
+            "op9_license_scan": license_sql(),
+            "op11_spelling": SPELLING, "op12_merkle": merkle_sql()}

@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from plainread.llm import (
     ann,
     byte_bpe,
+    covering,
     exact_dedup,
     jaccard_join,
     language_id,
     license_scan,
+    merkle,
     packing,
+    spelling,
     suffix_dedup,
     toxicity,
     warc,
@@ -86,7 +89,23 @@ def op10_nearest(spark: SparkSession, sf: str) -> DataFrame:
     return ann.search(table, F.col("vec_id") % 20 == 0, 20)
 
 
+def op11_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return spelling.variants(docs, slips=199)
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents")
+    return merkle.proofs(merkle.build(docs, other=merkle.tampered_leaf(docs, 5)))
+
+
+def op13_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return covering.near_groups(docs)
+
+
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     made = [op1_language_id, op2_toxicity, op3_warc, op4_byte_bpe, op5_suffix_dedup, op6_jaccard_join,
-            op7_packing, op8_exact_dedup, op9_license_scan, op10_nearest]
+            op7_packing, op8_exact_dedup, op9_license_scan, op10_nearest, op11_spelling,
+            op12_merkle, op13_simhash]
     return {f.__name__: f for f in made}
