@@ -11,7 +11,8 @@ leaf's rows and its visitors are cut into tiles of bounded size by hash; a tile
 and gives the best of each of its queries.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no part as
-queries or candidates; ties go to the smaller id; rows that repeat an id are candidates each, never of
+queries or candidates, nor do rows with a null id; ids may be of any type that can be ordered; ties go to the
+smaller id; rows that repeat an id are candidates each, never of
 their own id; an empty table gives an empty table; other columns are ignored.  Vectors of several
 lengths are an error.
 """
@@ -27,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plainread.llm.common import type_of
+from plainread.operators.numbering import numbered
 from plainread.session import materialize
 
 #: Bounds of the samples: vectors the tree is fitted on, queries that are answered exactly.
@@ -173,11 +176,32 @@ def distinct_vectors(rows: DataFrame, k: int) -> DataFrame:
 def search(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", vector: str = "embedding",
            recall: float = RECALL, leaf_rows: int = LEAF_ROWS, sample_rows: int = SAMPLE_ROWS,
            calibration_rows: int = CALIBRATION_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each query row of ``table``."""
-    fine = table.filter(usable(F.col(vector)))
-    rows = fine.select(F.col(vec_id).alias("_id"), F.col(vector).cast("array<double>").alias("_vector"))
-    queries = fine.filter(is_query).select(
-        F.col(vec_id).alias("_query"), F.col(vector).cast("array<double>").alias("_asked")).distinct()
+    """(query_id, rank, vec_id, score): the k nearest found of each query row of ``table``.
+
+    Ids that are no integers are numbered in their order, searched by number and put back.
+    """
+    kind = type_of(table, vec_id)
+    rows = table.select(F.col(f"`{vec_id}`").alias("_id"), F.col(f"`{vector}`").cast("array<double>").alias("_vector"),
+                        F.coalesce(is_query, F.lit(False)).alias("_asks")).filter(F.col("_id").isNotNull())
+    tuning = (k, recall, leaf_rows, sample_rows, calibration_rows)
+    if kind in ("bigint", "int", "smallint", "tinyint"):
+        found = nearest_rows(rows.withColumn("_id", F.col("_id").cast("bigint")), *tuning)
+        return found.select(F.col("query_id").cast(kind), "rank", F.col("vec_id").cast(kind), "score")
+    names = materialize(numbered(rows.select(F.lit(0).alias("_all"), "_id").distinct(), ["_all"], "_id", "_no")
+                        .select("_id", "_no"), "names")
+    found = nearest_rows(rows.join(names, "_id").select(F.col("_no").alias("_id"), "_vector", "_asks"), *tuning)
+    for column in ("query_id", "vec_id"):
+        found = found.join(names.select(F.col("_no").alias(column), F.col("_id").alias("_name")), column).drop(
+            column).withColumnRenamed("_name", column)
+    return found.select("query_id", "rank", "vec_id", "score")
+
+
+def nearest_rows(rows: DataFrame, k: int, recall: float, leaf_rows: int, sample_rows: int,
+                 calibration_rows: int) -> DataFrame:
+    """The search over (_id, _vector, _asks) with bigint ids."""
+    fine = rows.filter(usable(F.col("_vector")))
+    rows = fine.select("_id", "_vector")
+    queries = fine.filter("_asks").select(F.col("_id").alias("_query"), F.col("_vector").alias("_asked")).distinct()
     distinct = materialize(distinct_vectors(rows, k).withColumn(
         "_first", F.col("_ids")[0]), "vectors")
     total = distinct.count()
@@ -266,12 +290,10 @@ def search(table: DataFrame, is_query: Column, k: int, vec_id: str = "vec_id", v
                                          ["query_id", "near"])
 
     found = laid.mapInArrow(multiply, "query_id bigint, near array<struct<less: double, vec_id: bigint>>")
-    # A query has a row a tile, of k candidates each; their number is bounded by the leaves it visits.
-    best = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
-    top = found.groupBy("query_id").agg(best.alias("near")).select(
-        "query_id", F.posexplode("near").alias("place", "one"))
-    return top.select("query_id", (F.col("place") + 1).alias("rank"), F.col("one.vec_id").alias("vec_id"),
-                      (-F.col("one.less")).alias("score"))
+    # The limit by rank holds before the shuffle as well: a task passes on k candidates of a query.
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("less", "vec_id"))
+    return found.select("query_id", F.inline("near")).withColumn("rank", rank).filter(F.col("rank") <= k).select(
+        "query_id", "rank", "vec_id", (-F.col("less")).alias("score"))
 
 
 def calibrated(index: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float, rows: int) -> int:

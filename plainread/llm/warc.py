@@ -10,7 +10,11 @@ coalesced into ranges of bounded size and small gaps.  Only these ranges are rea
 Of records with equal payloads of at least ``min_revisit`` bytes the one with the largest id is a
 response, the others are revisits that refer to it and hold its HTTP head without the payload.
 
-Defined results: null payloads are empty; null URLs are written as an empty target; rows that share
+Ids are written percent-encoded, so whatever they hold they come back as they were; of URLs only control
+characters are, so no URL can end its line or start another field, and the index keeps the exact URL.
+
+Defined results: null payloads are empty; null URLs are written as an empty target; a null id is written as
+``urn:page-null`` and comes back null; rows that share
 their id and payload with the chosen response are all responses; a page with a null id never
 becomes the target of a revisit unless all of its group are null, which then are all responses; an empty table
 gives an empty index; other columns are ignored.
@@ -24,6 +28,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -37,23 +42,39 @@ from plainread.session import materialize, new_path
 MIN_REVISIT = 1000
 RANGE_BYTES = 8 << 20
 GAP_BYTES = 64 << 10
+#: Bytes of archives that a task reads.
+TASK_BYTES = 128 << 20
+CONTROL = re.compile(r"[\x00-\x1f\x7f-\x9f]")
+NO_PAGE = "urn:page-null"
 #: A fixed date keeps archives of equal pages equal.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page: str, url: str, payload: bytes, refers_to: str | None) -> bytes:
+def name_of(page: str | None) -> str:
+    return NO_PAGE if page is None else f"urn:page:{quote(page, safe='')}"
+
+
+def page_of(name: str) -> str | None:
+    return None if name == NO_PAGE else unquote(name.removeprefix("urn:page:"))
+
+
+def one_line(url: str) -> str:
+    return CONTROL.sub(lambda c: quote(c[0]), url)
+
+
+def record(page: str | None, url: str, payload: bytes, refers_to: str | None) -> bytes:
     """One uncompressed record."""
     digest = hashlib.sha1(payload).hexdigest()
     http = (f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
             f"Content-Length: {len(payload)}\r\n\r\n").encode()
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-            f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Target-URI: {url}", f"WARC-Date: {DATE}",
+            f"WARC-Record-ID: <{name_of(page)}>", f"WARC-Target-URI: {one_line(url)}", f"WARC-Date: {DATE}",
             f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response",
             f"Content-Length: {len(block)}"]
     if refers_to is not None:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
+        head += [f"WARC-Refers-To: <{name_of(refers_to)}>", f"WARC-Profile: {PROFILE}"]
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
@@ -66,9 +87,10 @@ def parse(data: bytes) -> dict:
     http, _, payload = block.partition(b"\r\n\r\n")
     size = next(int(v) for k, _, v in (x.partition(b": ") for x in http.split(b"\r\n"))
                 if k.lower() == b"content-length")
-    return {"page": fields["warc-record-id"][10:-1], "url": fields["warc-target-uri"],
+    target = fields.get("warc-refers-to")
+    return {"page": page_of(fields["warc-record-id"][1:-1]), "url": fields["warc-target-uri"],
             "type": fields["warc-type"], "digest": fields["warc-payload-digest"][5:],
-            "refers_to": fields.get("warc-refers-to", "<urn:page:>")[10:-1] or None,
+            "refers_to": target and page_of(target[1:-1]),
             "payload": payload, "payload_bytes": size}
 
 
@@ -105,7 +127,7 @@ def write(pages: DataFrame, path: str, page_id: str = "page_id", url: str = "url
             for i in range(batch.num_rows):
                 page, url_, payload, target = (batch.column(c)[i].as_py() for c in (
                     "_id", "_url", "_payload", "_refers_to"))
-                member = gzip.compress(record("" if page is None else str(page), url_, payload,
+                member = gzip.compress(record(None if page is None else str(page), url_, payload,
                                               None if target is None else str(target)), 6, mtime=0)
                 out = out or store.open_output_stream(f"{folder}/{name}", compression=None)
                 out.write(member)
@@ -169,7 +191,11 @@ def read(index: DataFrame, range_bytes: int = RANGE_BYTES, gap_bytes: int = GAP_
                                 got["payload"], got["payload_bytes"], digest))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
-    reads = ranges(index, range_bytes, gap_bytes).repartition("file", "begin").sortWithinPartitions("file", "begin")
+    # As many tasks as the bytes ask for, and on a small archive as many as there are cores.
+    total = index.agg(F.sum("length")).first()[0] or 0
+    few = min(index.sparkSession.sparkContext.defaultParallelism, -(-total // range_bytes))
+    tasks = max(1, few, -(-total // TASK_BYTES))
+    reads = ranges(index, range_bytes, gap_bytes).repartition(tasks, "file", "begin").sortWithinPartitions("file", "begin")
     return reads.mapInArrow(fetch, "file string, offset bigint, record_id string, url string, record_type string, "
                             "refers_to string, payload binary, payload_bytes bigint, payload_digest string")
 

@@ -36,6 +36,42 @@ def test_warc_round_trip(spark):
     assert none.count() == 0 and warc.read(none).count() == 0
 
 
+def test_warc_query_of_odd_pages(spark, tmp_path):
+    """Null ids, line ends and field names in URLs, null and empty pages, an empty table."""
+    big = "p" * 1200
+    rows = [(1, "http://a/\r\n\r\nb", big), (2, "x\r\nWARC-Type: revisit", "one"), (None, "http://n", big), (None, None, "two"),
+            (3, "a\nb\tc\x00d\x85e", None), (4, "http://ok/%41?q=1", big), (5, "", "")]
+    schema = "page_id bigint, url string, html string"
+    pages = spark.createDataFrame(rows, schema)
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    found = all_queries()["op3_warc"](spark, str(tmp_path)).collect()
+    assert sorted((r.page_id is None, r.page_id or 0, r.payload_bytes, r.record_type, r.refers_to) for r in found) == [
+        (False, 1, 1200, "revisit", 4), (False, 2, 3, "response", None), (False, 3, 0, "response", None),
+        (False, 4, 1200, "response", None), (False, 5, 0, "response", None),
+        (True, 0, 3, "response", None), (True, 0, 1200, "revisit", 4)]
+    index = warc.write(pages, warc.new_archive(pages))
+    assert {r.url for r in index.collect()} == {u or "" for _, u, _ in rows}
+    assert {r.url for r in warc.read(index).collect()} == {
+        "http://a/%0D%0A%0D%0Ab", "x%0D%0AWARC-Type: revisit", "http://n", "", "a%0Ab%09c%00d%C2%85e", "http://ok/%41?q=1"}
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/pages.parquet")
+    assert all_queries()["op3_warc"](spark, f"{tmp_path}/none").collect() == []
+
+
+def test_warc_ids_of_any_text(spark):
+    names = ["a b", "x>\r\nWARC-Type: revisit", "null", "%41", "", "é"]
+    pages = spark.createDataFrame([(n, "u", "h" * i) for i, n in enumerate(names)], "page_id string, url string, html string")
+    got = {r.record_id: r.payload_bytes for r in warc.read(warc.write(pages, warc.new_archive(pages))).collect()}
+    assert got == {n: i for i, n in enumerate(names)}
+
+
+def test_warc_reads_in_several_tasks(spark):
+    pages = spark.range(300).selectExpr("id as page_id", "'u' as url", "repeat(sha2(cast(id as string), 512), 20) as html").repartition(4)
+    index = warc.write(pages, warc.new_archive(pages))
+    found = warc.read(index, range_bytes=20_000, gap_bytes=0)
+    parts = found.select(F.spark_partition_id().alias("p"), "record_id").collect()
+    assert len(parts) == 300 and len({r.p for r in parts}) > 1
+
+
 def exact_neighbours(rows, is_query, k):
     fine = [(i, np.array(v, float)) for i, v in rows if v and None not in v and np.isfinite(v).all() and any(v)]
     out = {}
@@ -91,6 +127,23 @@ def test_ann_gives_k_rows(spark):
     assert [r.vec_id for r in sorted(found, key=lambda r: r["rank"])] == want[0]  # its own id has the 26 best vectors
 
 
+def test_ann_ids_of_any_type(spark):
+    """Null ids take no part; texts and short integers are ids as well, ties by their order."""
+    vectors = np.random.default_rng(8).standard_normal((60, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(61, [float(x) for x in vectors[3]])]
+    table = spark.createDataFrame([*rows, (None, rows[0][1]), (None, rows[5][1])], "vec_id int, embedding array<double>")
+    want = exact_neighbours(rows, lambda q: q % 20 == 0, 5)
+    got = ann.search(table, F.col("vec_id") % 20 == 0, 5)
+    assert dict(got.dtypes)["vec_id"] == dict(got.dtypes)["query_id"] == "int"
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got.collect()) == sorted(
+        (q, i + 1, v) for q, found in want.items() for i, v in enumerate(found))
+    named = table.withColumn("vec_id", F.format_string("v%02d", "vec_id")).withColumn(
+        "vec_id", F.when(F.col("vec_id") != "vnull", F.col("vec_id")))
+    got = ann.search(named, F.col("vec_id").isin("v00", "v20", "v40", "v60"), 5).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == sorted(
+        (f"v{q:02}", i + 1, f"v{v:02}") for q, found in want.items() for i, v in enumerate(found))
+
+
 def test_ann_counts_no_own_vector(spark):
     """A query's own vector, always in the first leaf it visits, is no hit of the calibration."""
     tree = ann.Tree(np.array([[0.0, 0.0], [1.0, 0.0], [0.0, 1.0]]), [[1, 2], [], []], [-1, 0, 1])
