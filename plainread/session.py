@@ -39,3 +39,13 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bound_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on rows go to Python workers in Arrow batches of at most ``size`` bytes (or one row).
+
+    The default bounds a batch by rows first, so with long texts a batch, its copy in the worker and
+    the batch that comes back take much of an executor's memory.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(key, f"{size}b")
