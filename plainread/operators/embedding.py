@@ -5,7 +5,7 @@ Two ways in, one result ``(adjacent, mean_previous, max_previous)``:
 * ``document_similarity``: the built-in hashed term-frequency provider, on the
   document row, where the group is one text;
 * ``previous_similarity``: a caller's embedding table, where a group can be of
-  any size; it is cut into stripes and compared tile by tile.
+  any size; a large one is cut into stripes.
 
 A zero vector has cosine 0 with everything.
 """
@@ -13,6 +13,7 @@ A zero vector has cosine 0 with everything.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -114,73 +115,132 @@ def cosine(a: Column, b: Column) -> Column:
     return rules.ratio(dot, norm(a) * norm(b))
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right`` on keys that may be null; of ``right`` only what is no key stays."""
+    on = [F.col(f"left.{k}").eqNullSafe(F.col(f"right.{k}")) for k in keys]
+    joined = left.alias("left").join(right.alias("right"), on, how)
+    if how in ("left_semi", "left_anti"):
+        return joined
+    return joined.select("left.*", *[F.col(f"right.{c}") for c in right.columns if c not in keys])
+
+
+def divided(rows: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups of at most ``most`` rows, and the others (None if there are none).  Only the keys
+    are read to find out."""
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).select(*keys)
+    if hot.isEmpty():
+        return rows, None
+    return null_safe(rows, hot, keys, "left_anti"), null_safe(rows, hot, keys, "left_semi")
+
+
 def adjacent_cosine(table: DataFrame, keys: Sequence[str], order: str, embedding: str,
                     block: int = 100_000) -> DataFrame:
     """(keys, order, adjacent): cosine with the row before it; 0 for the first.
 
-    The window runs per (group, block of places), so a hot group is spread over many tasks whatever
-    the values of ``order``; the last row of each block meets the first of the next by a join.
+    Groups above ``block`` rows are cut into blocks by place, so a hot group is spread over many
+    tasks whatever the values of ``order``; the last row of each block meets the first of the next by a join.
     """
     keys = list(keys)
-    rows = numbered(table.select(*keys, F.col(order).alias("_at"),
-                                 F.col(embedding).cast("array<double>").alias("_v")), keys, "_at")
-    rows = rows.withColumn("_block", F.floor(F.col("_pos") / block))
-    inside = Window.partitionBy(*keys, "_block").orderBy("_pos")
-    rows = rows.withColumn("_before", F.lag("_v").over(inside))
-    last = rows.groupBy(*keys, "_block").agg(F.max_by("_v", "_pos").alias("_carried"))
-    carried = last.withColumn("_block", F.col("_block") + 1)
-    joined = rows.join(carried, [*keys, "_block"], "left")
-    before = F.coalesce("_before", "_carried")
-    return joined.select(*keys, F.col("_at").alias(order),
-                         F.coalesce(cosine(F.col("_v"), before), F.lit(0.0)).alias("adjacent"))
+    rows = table.select(*keys, F.col(order).alias("_at"), F.col(embedding).cast("array<double>").alias("_v"))
+    cool, hot = divided(rows, keys, block)
+    found = cool.withColumn("_before", F.lag("_v").over(Window.partitionBy(*keys).orderBy("_at")))
+    if hot is not None:
+        placed = numbered(hot, keys, "_at").withColumn("_block", F.floor(F.col("_pos") / block))
+        inside = Window.partitionBy(*keys, "_block").orderBy("_pos")
+        placed = placed.withColumn("_before", F.lag("_v").over(inside))
+        last = placed.groupBy(*keys, "_block").agg(F.max_by("_v", "_pos").alias("_carried"))
+        joined = null_safe(placed, last.withColumn("_block", F.col("_block") + 1), [*keys, "_block"], "left")
+        found = found.unionByName(joined.select(*keys, "_at", "_v", F.coalesce("_before", "_carried").alias("_before")))
+    return found.select(*keys, F.col("_at").alias(order),
+                        F.coalesce(cosine(F.col("_v"), F.col("_before")), F.lit(0.0)).alias("adjacent"))
 
 
 def previous_similarity(table: DataFrame, keys: Sequence[str], order: str, embedding: str,
                         stripe: int = STRIPE) -> DataFrame:
     """(keys, order, adjacent, mean_previous, max_previous) over all earlier rows.
 
-    Exact and without emitting pairs.  A group is cut into stripes of at most
-    ``stripe`` rows by place (``order`` must be unique in a group).  Tile
-    (i, j<=i) compares stripe i with the earlier stripe j in one task and returns
-    one partial result per row of stripe i; partials add up per row.  A group of
-    one stripe is read once; a hot group is spread over a triangle of tiles.
+    Exact and without emitting pairs; ``order`` must be unique in a group, vectors of null count as zero.
+    The mean costs work linear in the rows: a unit vector times the sum of all before it.  The largest cosine
+    skips whatever a bound on the sphere rules out, block by block.  A group of up to ``stripe`` rows is
+    one task's work; a larger one is cut into stripes by place, see ``striped_similarity``.
     ``max_previous`` is null for the first row of a group.
     """
     keys = list(keys)
-    numbers = numbered(table.select(*keys, F.col(order).alias("_order"),
-                                    F.col(embedding).cast("array<double>").alias("v")), keys, "_order", "at")
-    rows = numbers.select(*keys, "at", "v", F.floor(F.col("at") / stripe).alias("stripe"))
-    sizes = numbers.groupBy(*keys).agg(F.floor(F.max("at") / stripe).alias("_last"))
-    placed = rows.join(sizes, keys).select(
-        *keys, "at", "v", "stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("other"))
-    tiled = placed.select(
-        *keys, "at", "v",
-        F.greatest("stripe", "other").alias("i"), F.least("stripe", "other").alias("j"),
-        (F.col("stripe") >= F.col("other")).alias("is_query"),
-        (F.col("stripe") <= F.col("other")).alias("is_candidate"))
-    schema = T.StructType([table.schema[k] for k in keys]
-                          + [T.StructField("at", T.LongType()), T.StructField("n", T.LongType()),
-                             T.StructField("total", T.DoubleType()),
-                             T.StructField("best", T.DoubleType()),
-                             T.StructField("near_at", T.LongType()),
-                             T.StructField("near", T.DoubleType())])
-
-    def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("at", kind="stable")
-        out = kernels.compare_tile(pdf[pdf["is_query"]], pdf[pdf["is_candidate"]])
-        for k in reversed(keys):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
-
-    partial = tiled.groupBy(*keys, "i", "j").applyInPandas(tile, schema)
-    partial = partial.select(*keys, "at", "n", "total",
-                             F.nanvl("best", F.lit(None).cast("double")).alias("best"), "near_at",
-                             F.nanvl("near", F.lit(None).cast("double")).alias("near"))
-    merged = partial.groupBy(*keys, "at").agg(
-        F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("best").alias("best"),
-        F.max_by("near", F.when(F.col("near").isNotNull(), F.col("near_at"))).alias("near"))
-    merged = merged.join(numbers.select(*keys, "at", "_order"), [*keys, "at"])
-    return merged.select(
-        *keys, F.col("_order").alias(order), F.coalesce("near", F.lit(0.0)).alias("adjacent"),
-        rules.ratio(F.col("total"), F.col("n")).alias("mean_previous"),
-        F.col("best").alias("max_previous"))
+    rows = table.select(*keys, F.col(order).alias("_order"), F.col(embedding).cast("array<double>").alias("_v"))
+    cool, hot = divided(rows, keys, stripe)
+    schema = T.StructType([*(rows.schema[k] for k in keys), rows.schema["_order"],
+                           *T.StructType.fromDDL("adjacent double, mean_previous double, max_previous double")])
+    found = cool.repartition(*keys).sortWithinPartitions(*keys, "_order").mapInArrow(
+        partial(kernels.whole_groups, keys=keys), schema)
+    if hot is not None:
+        found = found.unionByName(striped_similarity(hot, keys, stripe))
+    return found.withColumnRenamed("_order", order)
+
+
+def striped_similarity(rows: DataFrame, keys: list[str], stripe: int) -> DataFrame:
+    """The same for groups of any size, (keys, _order, _v): only stripes meet.
+
+    1. Narrow rows are numbered and joined with their vectors.  Each stripe, with the last row before it,
+       gives its rows' best cosine so far, and a summary: the sum of its unit vectors and the ball round them.
+    2. Sums of the stripes before a stripe are added up, dimension by dimension.
+    3. A pair of stripes becomes a tile only if their balls allow a cosine above the least of what the
+       later one's rows have (``open_tiles``); in a tile each row is held against the ball again.
+    """
+    numbers = numbered(rows.select(*keys, "_order"), keys, "_order", "_at")
+    placed = materialize(null_safe(rows, numbers, [*keys, "_order"]).withColumn(
+        "_stripe", F.floor(F.col("_at") / stripe)), "placed")
+    group = [*keys, "_stripe"]
+    closes = F.col("_at") % stripe == stripe - 1
+    carried = placed.filter(closes).withColumn("_stripe", F.col("_stripe") + 1).withColumn("_context", F.lit(True))
+    laid = placed.withColumn("_context", F.lit(False)).unionByName(carried)
+    key_fields = [rows.schema[k] for k in keys]
+    vector = "array<double>"
+    schema = T.StructType([*key_fields, *T.StructType.fromDDL("_stripe bigint, _at bigint"), rows.schema["_order"],
+                           *T.StructType.fromDDL("_adjacent double, _total double, _best double"),
+                           *T.StructType.fromDDL(f"_sum {vector}, _centre {vector}, _angle double, _zero boolean, _least double")])
+    own = materialize(laid.repartition(*group).sortWithinPartitions(*group, "_at").mapInArrow(
+        partial(kernels.stripes, keys=keys), schema), "stripes")
+    stripes = own.filter("_sum is not null").select(*group, "_sum", "_centre", "_angle", "_zero", "_least")
+    # All earlier stripes' sums, a row a dimension.
+    earlier = Window.partitionBy(*keys, "_i").orderBy("_stripe").rowsBetween(Window.unboundedPreceding, -1)
+    sums = stripes.select(*group, F.posexplode("_sum").alias("_i", "_x")).withColumn("_x", F.sum("_x").over(earlier))
+    offsets = sums.filter("_x is not null").groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_all")).select(
+        *group, F.transform("_all", lambda e: e["_x"]).alias("_v"))
+    tiles = open_tiles(stripes, keys)
+    none = F.lit(None).cast("double")
+    asked = null_safe(placed, own.select(*keys, "_at", "_best"), [*keys, "_at"])
+    start = [*keys, F.col("_stripe").alias("_i")]
+    # Tile (i, -1) is stripe i with the sum of all before it.
+    queries = asked.select(*start, F.lit(-1).cast("bigint").alias("_j"), F.lit(1).alias("_kind"), "_at", "_best", "_v").union(
+        null_safe(asked.select(*start, "_at", "_best", "_v"), tiles.select(*keys, "_i", "_j"), [*keys, "_i"]).select(
+            *keys, "_i", "_j", F.lit(1).alias("_kind"), "_at", "_best", "_v"))
+    candidates = null_safe(placed.select(*keys, F.col("_stripe").alias("_j"), "_at", "_v"),
+                           tiles.select(*keys, "_j", "_i"), [*keys, "_j"]).select(
+        *keys, "_i", "_j", F.lit(0).alias("_kind"), "_at", none.alias("_best"), "_v")
+    before = offsets.select(*start, F.lit(-1).cast("bigint").alias("_j"), F.lit(0).alias("_kind"),
+                            F.lit(-1).cast("bigint").alias("_at"), none.alias("_best"), "_v")
+    tile = [*keys, "_i", "_j"]
+    met = queries.union(candidates).union(before).repartition(*tile).sortWithinPartitions(*tile, "_kind", "_at")
+    found = met.mapInArrow(partial(kernels.tiles, keys=keys), T.StructType(
+        [*key_fields, *T.StructType.fromDDL("_at bigint, _total double, _best double")]))
+    whole = own.select(*keys, "_at", "_order", "_adjacent", "_total", "_best").unionByName(
+        found, allowMissingColumns=True).groupBy(*keys, "_at").agg(
+        F.first("_order", True).alias("_order"), F.max("_adjacent").alias("adjacent"),
+        F.sum("_total").alias("_total"), F.max("_best").alias("max_previous"))
+    return whole.select(*keys, "_order", "adjacent", rules.ratio(F.col("_total"), F.col("_at")).alias("mean_previous"),
+                        "max_previous")
+
+
+def open_tiles(stripes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _i, _j): pairs of a stripe and an earlier one that may hold a nearer row than some row of
+    stripe i has: by the angle between their centres less both radii."""
+    late = stripes.select(*keys, F.col("_stripe").alias("_i"), F.col("_centre").alias("_c"), F.col("_angle").alias("_a"),
+                          F.col("_zero").alias("_z"), F.col("_least").alias("_l"))
+    early = stripes.select(*keys, F.col("_stripe").alias("_j"), "_centre", "_angle", "_zero")
+    pairs = null_safe(late, early, keys).filter("_j < _i")
+    dot = F.aggregate(F.zip_with("_c", "_centre", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot))) - F.col("_a") - F.col("_angle")
+    bound = F.cos(F.greatest(F.lit(0.0), apart))
+    bound = F.when(F.col("_z") | F.col("_zero"), F.greatest(bound, F.lit(0.0))).otherwise(bound)
+    return pairs.filter(bound + kernels.SLACK > F.col("_l")).select(*keys, "_i", "_j")
