@@ -414,13 +414,21 @@ LINKS = ("links AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS entity
          "FROM links GROUP BY entity)")
 
 
-def phrase_sql() -> str:
+#: The phrases of a category that no built-in list has.
+OWN_PHRASES = ["of the", "in ... and", "a lot", "e.g. this"]
+
+
+def phrase_columns(lists: dict[str, list[str]]) -> str:
     counts = []
-    for name, phrases in W.CONNECTIVES.items():
+    for name, phrases in lists.items():
         each = [f"len(regexp_extract_all(lower(text), '{phrase_pattern(p)}'))"
                 for p in multi_word(phrases)]
         counts.append(f"({' + '.join(each) or '0'})::BIGINT AS {name}_phrases")
-    return annotated(f"SELECT doc_id, sent_id, {', '.join(counts)} FROM sent")
+    return ", ".join(counts)
+
+
+def phrase_sql() -> str:
+    return annotated(f"SELECT doc_id, sent_id, {phrase_columns(W.CONNECTIVES)} FROM sent")
 
 
 def ruleset_sql() -> str:
@@ -450,14 +458,20 @@ PAGE_TEXT = (r"nullif(trim(regexp_replace(regexp_replace(regexp_replace(html, "
 
 
 def entity_sql() -> str:
-    """Pages as documents, joined with the chosen links."""
+    """Pages as documents, joined with the chosen links; word frequencies are those of the documents."""
+    keys = ["doc_id"]
     pages = f"text_rows AS (SELECT page_id AS doc_id, {PAGE_TEXT} AS text FROM pages)"
+    corpus = (f"corpus_tok AS (SELECT unnest(regexp_extract_all(s, '{W.TOKEN_PATTERN}')) AS text FROM "
+              f"(SELECT unnest(regexp_extract_all(text, '{SENTENCE}')) AS s FROM documents))")
     chosen = ", ".join(f"round({formula(n)}, 6) AS {n}" for n in FORMULAS)
-    return (f"WITH RECURSIVE {pages}, {base(['doc_id'])}, {COUNTS}, {LINKS}, "
-            f"scored AS (SELECT doc_id, {chosen} FROM counted) "
-            "SELECT entity, link, t.text, " + ", ".join(FORMULAS) + " FROM best b "
+    ctes = [pages, *feature_ctes(keys, True, corpus), means_cte(keys), COUNTS, LINKS,
+            f"scored AS (SELECT doc_id, {chosen} FROM counted)",
+            f"modelled AS (SELECT doc_id, round({SCORE}, 6) AS custom FROM means)"]
+    return (f"WITH RECURSIVE {', '.join(ctes)} "
+            "SELECT entity, link, t.text, CASE WHEN t.text IS NOT NULL THEN custom END AS custom, "
+            + ", ".join(FORMULAS) + " FROM best b "
             "LEFT JOIN pages p ON b.link = p.url LEFT JOIN text_rows t ON t.doc_id = p.page_id "
-            "LEFT JOIN scored s ON s.doc_id = p.page_id")
+            "LEFT JOIN scored s ON s.doc_id = p.page_id LEFT JOIN modelled m ON m.doc_id = p.page_id")
 
 
 def all_sql() -> dict[str, str]:
@@ -577,8 +591,12 @@ def all_sql() -> dict[str, str]:
             "SELECT doc_id, sent_id, " + ", ".join(
                 f"count(*) FILTER (pos IN {quoted(W.CONJUNCTION_POS)} AND lower IN {quoted(words)}) "
                 f"AS {name}_connectives" for name, words in rotated().items())
-            + ", count(*) FILTER (pos = 'PRON' AND lower IN ('you', 'it', 'they')) AS first_person_pronouns "
-            "FROM ann GROUP BY doc_id, sent_id"),
+            + ", count(*) FILTER (pos = 'PRON' AND lower IN ('you', 'it', 'they')) AS first_person_pronouns, "
+            + ", ".join(f"any_value({name}_phrases) AS {name}_phrases" for name in [*rotated(), "own"])
+            + " FROM ann JOIN held USING (doc_id, sent_id) GROUP BY doc_id, sent_id",
+            f"held AS (SELECT doc_id, sent_id, {phrase_columns({**rotated(), 'own': OWN_PHRASES})} FROM sent)"),
+        "tree_attributions": "SELECT doc_id, true AS adds_up, true AS idle_are_zero "
+                             "FROM documents JOIN labels USING (doc_id)",
         "score_linear": with_features(f"SELECT doc_id, round({SCORE}, 6) AS score FROM means", True, MEANS),
         "sentence_scores": sentence_scores_sql(),
         "weights_load": with_features(

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from plainread.functions import wordlists as W
 from plainread.operators import annotate, cohesion, document, embedding, frequency, lexical
-from plainread.operators import segment, surface
-from plainread.plans import model, profile, scores
+from plainread.operators import phrases, segment, surface
+from plainread.plans import attribution, model, profile, scores
 from plainread.session import materialize, new_path
 from plainread.sources import entities, lexicons, pages, training, weights
 from plainread.sources.tables import read_table, spread
@@ -165,17 +165,23 @@ RULES = {"first_person": ["you", "it", "they"], **{
     name: W.CONNECTIVES[other] for name, other in zip(W.CONNECTIVES, [*list(W.CONNECTIVES)[1:], list(W.CONNECTIVES)[0]])}}
 
 
+#: A category that no built-in list has.
+OWN_PHRASES = ["of the", "in ... and", "a  lot", "e.g. this"]
+
+
 def ruleset_features(spark: SparkSession, sf: str) -> DataFrame:
-    """Counts by a rule-set file other than the built-in lists: each category has the words of the
-    next, and other pronouns are first person."""
+    """Counts by a rule-set file other than the built-in lists: each category has the words and phrases
+    of the next, other pronouns are first person, and there is a category more."""
     path = new_path(spark, "ruleset")
     text = json.dumps({"first_person": RULES["first_person"], "connectives": {
-        f"{name}_connectives": RULES[name] for name in W.CONNECTIVES}})
+        **{f"{name}_connectives": RULES[name] for name in W.CONNECTIVES}, "own_connectives": OWN_PHRASES}})
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
-    rows = profile.sentence_features(docs(spark, sf), semantic=False,
-                                     ruleset=lexicons.read_ruleset(spark, path))
-    return rows.filter(F.col("sent_id").isNotNull()).select(
-        *ROW, *[f"{name}_connectives" for name in W.CONNECTIVES], "first_person_pronouns")
+    rules = lexicons.read_ruleset(spark, path)
+    rows = profile.sentence_features(docs(spark, sf), semantic=False, ruleset=rules)
+    held = phrases.phrase_columns(segment.sentences(docs(spark, sf)), rules, [*W.CONNECTIVES, "own"])
+    return rows.filter(F.col("sent_id").isNotNull()).join(held, ROW).select(
+        *ROW, *[f"{name}_connectives" for name in W.CONNECTIVES], "first_person_pronouns",
+        *[f"{name}_phrases" for name in [*W.CONNECTIVES, "own"]])
 
 
 def entities_read(spark: SparkSession, sf: str) -> DataFrame:
@@ -209,11 +215,12 @@ def failed_extractions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def entity_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Hosts with their first matching link, the text behind it, and its classic scores."""
+    """Hosts with their first matching link, the text behind it, its classic scores and the model's."""
     found = entities.first_matching_link(page_links(spark, sf), suffix="/")
     texts = read_table(spark, sf, "pages").select("url", pages.page_text(F.col("html")).alias("text"))
-    rows = scores.entity_results(found, texts)
-    return rows.select("entity", "link", "text", *r6(*scores.FORMULAS))
+    rows = scores.entity_results(found, texts, lambda chosen, keys: model.score(profile.profile_means(
+        profile.sentence_features(chosen, keys, zipf=zipf(spark, sf), norms=norms(spark, sf), compat=True), keys), keys=keys))
+    return rows.select("entity", "link", "text", *r6("custom", *scores.FORMULAS))
 
 
 def page_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -454,6 +461,19 @@ def tree_importances(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("feature", (F.col("importance") >= 0).alias("not_negative"), total.alias("total"))
 
 
+def tree_attributions(spark: SparkSession, sf: str) -> DataFrame:
+    """Attributions of boosted trees for every training row: with the base they add up to the prediction, and
+    features that no tree splits on have none."""
+    fitted, rows = model.train(pairs(spark, sf)), pairs(spark, sf)
+    nodes = materialize(attribution.node_table(spark, fitted), "nodes")
+    used = {r["feature"] for r in nodes.filter("left >= 0").select("feature").distinct().collect()}
+    total = sum((F.col(f) for f in W.FEATURES), F.col("base"))
+    idle = [F.col(f) for i, f in enumerate(W.FEATURES) if i not in used]
+    found = attribution.tree_attributions(rows, nodes).join(model.score(rows, fitted), "doc_id")
+    return found.select("doc_id", (F.abs(total - F.col("score")) < 1e-9).alias("adds_up"),
+                        F.forall(F.array(F.lit(0.0), *idle), lambda x: x == 0).alias("idle_are_zero"))
+
+
 def train_linear(spark: SparkSession, sf: str) -> DataFrame:
     fitted = model.linear_weights(model.train(pairs(spark, sf), model.linear_regressor()))
     return fit_summary(pairs(spark, sf), "linear", fitted)
@@ -521,7 +541,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
              surface_connectives, surface_phrases, function_content_ratio, lexical_syllables,
              doc_lemma_sets, doc_lexical_diversity, cosine_adjacent, cosine_all_previous,
              profile_wide, profile_stats, feature_vector, training_pairs, train_gbt, train_linear,
-             train_from_file, tree_importances, ruleset_features, entity_results, nested_record, profile_struct,
+             train_from_file, tree_importances, tree_attributions, ruleset_features, entity_results, nested_record, profile_struct,
              score_linear, sentence_scores, attributions, score_card]
     out = {f.__name__: f for f in plain}
     out["surface_lengths"] = partial(per_sentence, surface.lengths)
