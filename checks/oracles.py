@@ -149,11 +149,16 @@ lagged AS (
     lag(l_verbs) OVER o AS p_verbs, lag(l_tense) OVER o AS p_tense, lag(l_aspect) OVER o AS p_aspect,
     coalesce(sum(word_count) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
   FROM agg g WINDOW o AS (PARTITION BY {key} ORDER BY sent_id)),
+mods AS (
+  SELECT {a_key}, a.sent_id, count(*) AS mods FROM ann a JOIN ann w ON {a_w} AND a.sent_id = w.sent_id
+    AND a.head_idx = w.tok_idx AND a.dep IN {modifiers} AND w.pos IN ('NOUN', 'PROPN')
+  GROUP BY {a_key}, a.sent_id),
 feat AS (
   SELECT {l_key}, l.sent_id, {features}
   FROM lagged l JOIN sent s ON {l_s} AND l.sent_id = s.sent_id
   LEFT JOIN docs_agg d ON {l_d}
   LEFT JOIN depths h ON {l_h} AND l.sent_id = h.sent_id
+  LEFT JOIN mods q ON {l_q} AND l.sent_id = q.sent_id
   LEFT JOIN semantic c ON {l_c} AND l.sent_id = c.sent_id)"""
 
 
@@ -167,7 +172,7 @@ def fill(template: str, keys: list[str], **more: str) -> str:
     return template.format(
         key=", ".join(keys), a_key=of("a"), d_key=of("d"), l_key=of("l"), a_w=both("a", "w"),
         a_b=both("a", "b"), d_x=both("d", "x"), d_y=both("d", "y"), l_s=both("l", "s"),
-        l_d=both("l", "d"), l_h=both("l", "h"), l_c=both("l", "c"), **more)
+        l_d=both("l", "d"), l_h=both("l", "h"), l_c=both("l", "c"), l_q=both("l", "q"), **more)
 
 
 def base(keys: list[str]) -> str:
@@ -264,7 +269,7 @@ def feature_columns(compat: bool) -> dict[str, str]:
         "sentence_length": "length(s.text)",
         "dependency_depth": "h.dependency_depth",
         "words_before_main_verb": "l.root_at + l.off" if compat else "l.root_at",
-        "avg_polysemy": "0.0", "modifiers_per_np": "0.0",
+        "avg_polysemy": "0.0", "modifiers_per_np": "0.0" if compat else share("coalesce(q.mods, 0)", "l.nouns"),
         "content_overlap_adjacent": shared("content"), "noun_overlap_adjacent": shared("nouns"),
         "argument_overlap_adjacent": shared("args"),
         "stem_overlap_all": later(share("len(l.l_words)", "d.n_words")),
@@ -298,7 +303,8 @@ def feature_ctes(keys: list[str], compat: bool, corpus: str) -> list[str]:
     counts = ", ".join(f"{x} AS {n}" for n, x in aggregates(compat).items())
     columns = ", ".join(f"{x} AS {n}" for n, x in feature_columns(compat).items())
     return [base(keys), corpus, fill(DEPTH, keys), fill(SIMILAR, keys, width=str(W.EMBEDDING_WIDTH)), NORMS,
-            fill(FEATURE_ROWS, keys, counts=counts, features=columns, content=quoted(W.CONTENT_POS))]
+            fill(FEATURE_ROWS, keys, counts=counts, features=columns, content=quoted(W.CONTENT_POS),
+                 modifiers=quoted(W.MODIFIER_DEP))]
 
 
 CORPUS_TOK = "corpus_tok AS (SELECT text FROM tok)"
@@ -595,6 +601,16 @@ def all_sql() -> dict[str, str]:
             + ", ".join(f"any_value({name}_phrases) AS {name}_phrases" for name in [*rotated(), "own"])
             + " FROM ann JOIN held USING (doc_id, sent_id) GROUP BY doc_id, sent_id",
             f"held AS (SELECT doc_id, sent_id, {phrase_columns({**rotated(), 'own': OWN_PHRASES})} FROM sent)"),
+        "modifiers_per_np": sentence_query("modifiers_per_np"),
+        "syntactic_similarity": annotated(
+            "SELECT doc_id, sent_id, round(CASE WHEN before > 0 THEN common * 2.0 / (now + before) ELSE 0 END, 6) "
+            "AS syntactic_similarity_prev FROM (SELECT doc_id, sent_id, sum(now) AS now, sum(before) AS before, "
+            "sum(least(now, before)) AS common FROM (SELECT doc_id, sent_id, tree, sum(now) AS now, sum(before) AS before "
+            "FROM (SELECT doc_id, sent_id, tree, 1 AS now, 0 AS before FROM trees "
+            "UNION ALL SELECT doc_id, sent_id + 1, tree, 0, 1 FROM trees) GROUP BY ALL) GROUP BY ALL) WHERE now > 0",
+            "trees AS (SELECT a.doc_id, a.sent_id, a.tok_idx, any_value(a.pos) || coalesce(' ' || "
+            "string_agg(b.pos, ' ' ORDER BY b.tok_idx), '') AS tree FROM ann a LEFT JOIN ann b ON a.doc_id = b.doc_id "
+            "AND a.sent_id = b.sent_id AND b.head_idx = a.tok_idx GROUP BY a.doc_id, a.sent_id, a.tok_idx)"),
         "tree_attributions": "SELECT doc_id, true AS adds_up, true AS idle_are_zero "
                              "FROM documents JOIN labels USING (doc_id)",
         "score_linear": with_features(f"SELECT doc_id, round({SCORE}, 6) AS score FROM means", True, MEANS),

@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainread.functions import wordlists as W
-from plainread.operators import annotate, cohesion, document, embedding, frequency, lexical
-from plainread.operators import phrases, segment, surface
+from plainread.operators import annotate, cohesion, document, embedding, frequency, latent, lexical
+from plainread.operators import phrases, segment, surface, syntax
 from plainread.plans import attribution, model, profile, scores
 from plainread.session import materialize, new_path
 from plainread.sources import entities, lexicons, pages, training, weights
@@ -278,6 +278,11 @@ def token_syllables(spark: SparkSession, sf: str) -> DataFrame:
     return word_rows(spark, sf).select(*ROW, "tok_idx", "syllables")
 
 
+def syntactic_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    rows = syntax.syntactic_similarity(annotate.token_table(docs(spark, sf)))
+    return rows.select(*ROW, *r6("syntactic_similarity_prev"))
+
+
 def word_zipf(spark: SparkSession, sf: str) -> DataFrame:
     return frequency.word_zipf(frequency.corpus_words(docs(spark, sf)))
 
@@ -371,6 +376,13 @@ def cosine_all_previous(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("label", "vec_id", *r6("mean_previous"), F.round(new, 6).alias("given_new"))
 
 
+def latent_cohesion(spark: SparkSession, sf: str) -> DataFrame:
+    """Similarities of each sentence with earlier ones by latent vectors fitted on all sentences."""
+    table = materialize(latent.sentence_vectors(annotate.token_table(docs(spark, sf))), "latent")
+    rows = embedding.previous_similarity(table, ["doc_id"], "sent_id", "embedding")
+    return rows.select(*ROW, *r6("adjacent", "mean_previous", "max_previous"))
+
+
 # --- profile, scores, models -----------------------------------------------------------
 
 def profile_wide(spark: SparkSession, sf: str) -> DataFrame:
@@ -521,6 +533,7 @@ SENTENCE_FEATURES: dict[str, Sequence[str]] = {
     "dependency_depth": ["dependency_depth"],
     "passive_count": ["passive_constructions"],
     "words_before_root": ["words_before_main_verb"],
+    "modifiers_per_np": ["modifiers_per_np"],
     "cohesion_overlaps": ["content_overlap_adjacent", "noun_overlap_adjacent",
                           "argument_overlap_adjacent"],
     "cohesion_stem_all": ["stem_overlap_all", "content_overlap_all"],
@@ -537,7 +550,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [train_read, train_valid_rows, train_optional_numeric, train_first_n, lexicon_norms,
              ruleset_phrases, entities_read, weights_load, page_text, first_matching_link,
              failed_extractions, concat_pages, sentences, dot_segments, tokens, token_pos,
-             token_lemma, token_dep, token_syllables, word_zipf, hashed_embedding,
+             token_lemma, token_dep, token_syllables, syntactic_similarity, latent_cohesion, word_zipf, hashed_embedding,
              surface_connectives, surface_phrases, function_content_ratio, lexical_syllables,
              doc_lemma_sets, doc_lexical_diversity, cosine_adjacent, cosine_all_previous,
              profile_wide, profile_stats, feature_vector, training_pairs, train_gbt, train_linear,

@@ -110,6 +110,9 @@ FREQUENCY_POS = ["NOUN", "PROPN", "VERB", "ADJ", "ADV"]
 CONJUNCTION_POS = ["CCONJ", "SCONJ"]
 ARGUMENT_DEP = ["nsubj", "dobj"]
 PASSIVE_DEP = ["nsubjpass", "auxpass"]
+#: Labels of what modifies a noun.
+MODIFIER_DEP = ["det", "amod", "nummod", "nmod", "compound", "poss", "appos", "acl", "relcl"]
+NOUN_POS = ["NOUN", "PROPN"]
 
 # --- closed-class words of the rule annotator ---------------------------------
 

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plainread.functions import rules
 from plainread.functions import wordlists as W
 from plainread.operators import cohesion, document, embedding, lexical, surface, syntax
 from plainread.operators.annotate import gather, of_token_table, relate, word_tokens
@@ -23,7 +24,7 @@ from plainread.session import materialize
 from plainread.sources.lexicons import ruleset_words
 
 STATS = ("avg", "sd", "min", "max")
-CONSTANT_FEATURES = ["avg_polysemy", "modifiers_per_np"]
+CONSTANT_FEATURES = ["avg_polysemy"]
 LEXICAL = ["nouns", "verbs", "adjectives", "adverbs", "pronouns", "first_person_pronouns",
            "third_person_pronouns", "avg_syllables_per_word", "avg_word_frequency_log",
            "avg_content_word_frequency_log", *lexical.NORM_FEATURES,
@@ -101,6 +102,7 @@ def features_of(tokens: DataFrame, keys: Sequence[str] = ("doc_id",),
         "connectives_total": surface.connectives_total(compat=compat),
         "function_to_content_ratio": surface.function_content_ratio(compat),
         "dependency_depth": syntax.dependency_depth(F.col("head")),
+        "modifiers_per_np": rules.ratio(syntax.noun_modifiers(F.col("dep"), F.col("head"), compat), F.col("nouns")),
         "passive_constructions": syntax.passive_constructions(F.col("dep"), compat),
         "words_before_main_verb": syntax.root_position(F.col("dep")),
         "negations": syntax.label_count(F.col("dep"), "neg")}
@@ -169,6 +171,13 @@ def _similarity(embeddings: DataFrame | None, keys: Sequence[str]) -> DataFrame
         "adjacent", "mean_previous", "max_previous").alias("semantic"))
 
 
+def with_syntactic_similarity(features: DataFrame, tokens: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """Sentence features with ``syntactic_similarity_prev`` of their token table, which is no part of the vector."""
+    place = [*keys, "sent_id"]
+    return features.join(syntax.syntactic_similarity(tokens, keys), place, "left").withColumn(
+        "syntactic_similarity_prev", F.coalesce("syntactic_similarity_prev", F.lit(0.0)))
+
+
 def nested(features: DataFrame, keys: Sequence[str] = ("doc_id",)) -> DataFrame:
     """Sentence features as four records: surface, syntax, lexical, cohesion."""
     def record(names: Sequence[str], name: str) -> Column:
