@@ -9,7 +9,8 @@ of two.  Equal documents have equal keys and spread by id and row number.
 
 Defined results: null and empty texts are the end token alone; repeated rows are packed each; rows
 with null ids are packed like others; an empty table gives no piece; other columns are ignored.
-Documents are cut freely; each token lies in exactly one piece.
+Documents are cut freely; each token lies in exactly one piece.  Strings of the vocabulary's special tokens in
+a text get the special ids, as the tokenizer gives them.
 """
 
 from __future__ import annotations
@@ -48,7 +49,8 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True  # their strings in a text are ordinary text
+        #: Strings of the vocabulary's own tokens: each is one id wherever it stands, also inside a word.
+        self.special = [t.content.lower() for t in self.tool.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.chars = 0
@@ -73,8 +75,10 @@ class Encoder:
         for word in words:
             ids = self.older.get(word)
             if ids is None:
-                if not (word.isascii() or unicodedata.is_normalized("NFC", word)
-                        and len(word.lower()) == len(word) and "Σ" not in word):
+                low = word.lower()
+                if any(t in low for t in self.special) or not (
+                        word.isascii() or unicodedata.is_normalized("NFC", word)
+                        and len(low) == len(word) and "Σ" not in word):
                     ids = np.array(self.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
                 elif (ids := self.variant(word)) is None:
                     plain.append(word)

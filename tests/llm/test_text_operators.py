@@ -263,7 +263,6 @@ def test_jaccard_blocks(spark, monkeypatch):
 def test_packing(docs, none):
     path = public_tokenizers.path(packing.VOCABULARY)
     tool = Tokenizer.from_file(path)
-    tool.encode_special_tokens = True
     got = packing.pack(docs, length=64).collect()
     ids = {}
     for i, t in TEXTS:
@@ -288,6 +287,17 @@ def test_packing(docs, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_encodes_as_the_tokenizer():
+    """Special tokens in any place and case, odd letters, and words met in any order."""
+    tool = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    texts = ["<|endoftext|>", "a<|endoftext|>b, <|ENDOFTEXT|> <|endoftext|>. <|startoftext|><|endoftext|>", "<|endoftext|>.",
+             "<|EndOfText|>, <|endoftext|>,", "x<|endoftext|>y. X<|endoftext|>Y", "e\u0301<|endoftext|>É <|endof text|>", "İ Σας ς <|endoftext|"]
+    for order in (texts, texts[::-1]):
+        made = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+        for text in order:
+            assert made.encode(text).tolist() == tool.encode(text, add_special_tokens=False).ids + [2], text
+
+
 def test_hilbert_curve():
     """Every cell of a small cube once, neighbours on the curve are neighbours in space."""
     side = 8
@@ -393,7 +403,6 @@ def test_pipeline_run(spark, tmp_path):
     cut = removed([t for _, t in single], 400)
     assert len(rows) > len(left) > len(single) and any(g.any() for g in cut)
     tool = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
-    tool.encode_special_tokens = True
     want = {}
     for (i, t), g in zip(single, cut):
         body = np.frombuffer(t.encode(), np.uint8)[~g].tobytes().decode()
