@@ -25,6 +25,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,14 @@ from plainread.session import materialize
 
 LEVELS = 16
 #: Words of a subtree one task holds at a time, and how many of those that search it.
-CELL, ASKING = 1024, 16384
+CELL, ASKING = 8192, 65536
 LEAST_LENGTH, LEAST_COUNT, TIMES = 6, 5, 5
 SLICE = 1 << 20
 HELD = 200_000
-SMALL = 8
+#: Words of a subtree that are compared one by one.
+SMALL = 6
+#: The character of a count of none.
+ZERO = 48
 LETTER = re.compile("[A-Za-zÀ-ÿ]")
 
 
@@ -98,7 +102,8 @@ def word_counts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", lea
 
 
 def with_paths(words: DataFrame) -> DataFrame:
-    """(word, n, _path): the counts of its letter groups, the group that varies most first."""
+    """(word, n, _path, _up, _down): the counts of its letter groups, the group that varies most first, a
+    character a count; and the same with one more and one less of each."""
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [np.bincount(np.frombuffer(w.encode("utf-32-le"), np.uint32) % LEVELS, minlength=LEVELS)
@@ -111,37 +116,54 @@ def with_paths(words: DataFrame) -> DataFrame:
     found = materialize(words.mapInArrow(vectors, "word string, n bigint, _counts array<int>"), "vectors")
     spread = found.agg(*[F.var_pop(F.col("_counts")[i]).alias(f"v{i}") for i in range(LEVELS)]).first()
     order = sorted(range(LEVELS), key=lambda i: -(spread[i] or 0.0))
-    return found.select("word", "n", F.array(*[F.col("_counts")[i] for i in order]).alias("_path"))
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = np.asarray(batch.column("_counts").flatten()).reshape(-1, LEVELS)[:, order]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("n"), *[pa.array(characters(counts + by), pa.string()) for by in (0, 1, -1)]],
+                ["word", "n", "_path", "_up", "_down"])
+
+    return materialize(found.mapInArrow(written, "word string, n bigint, _path string, _up string, _down string"), "paths")
+
+
+def characters(counts: np.ndarray) -> list[str]:
+    """Rows of counts as texts, in the same order as the counts."""
+    codes = counts.astype(np.uint32) + np.uint32(ZERO)
+    codes[codes >= 0xD800] += np.uint32(0x800)  # what are no characters is left out
+    return np.ascontiguousarray(codes).view(f"<U{LEVELS}").ravel().tolist()
 
 
 def reached(words: DataFrame, cell: int) -> DataFrame:
     """(word, n, _path, _plus, _minus, _node, _size): the cells each word reaches with the budgets it has
     left there.  With both budgets whole the cell is its own."""
     level = 0
-    front = words.select("word", "n", "_path", F.lit(1).alias("_plus"), F.lit(1).alias("_minus"),
-                         F.array().cast("array<int>").alias("_node"))
+    front = words.select("word", "n", "_path", "_up", "_down", F.lit(1).alias("_plus"), F.lit(1).alias("_minus"),
+                         F.lit("").alias("_node"))
+    kept = ["word", "n", "_path", "_plus", "_minus", "_node", "_size"]
     found = None
     while True:
-        sizes = words.groupBy(F.slice("_path", 1, level).alias("_node")).agg(F.count("*").alias("_size"))
-        met = materialize(front.join(sizes, "_node").select(
-            "word", "n", "_path", "_plus", "_minus", "_node", "_size"), "cells")
+        sizes = words.groupBy(F.substring("_path", 1, level).alias("_node")).agg(F.count("*").alias("_size"))
+        met = materialize(front.join(sizes, "_node").select(*kept, "_up", "_down"), "cells")
         whole = (F.col("_size") <= cell) | F.lit(level == LEVELS)
-        found = met.filter(whole) if found is None else found.union(met.filter(whole))
+        done = met.filter(whole).select(*kept)
+        found = done if found is None else found.union(done)
         open_ = met.filter(~whole)
         if open_.isEmpty():
             return found
         plus, minus = F.col("_plus"), F.col("_minus")
-        none = F.lit(None).cast("struct<_step:int,_plus:int,_minus:int>")
-
-        def step(by: int, more, less):
-            return F.struct(F.lit(by).alias("_step"), more.alias("_plus"), less.alias("_minus"))
-
-        steps = F.array(step(0, plus, minus),
-                        F.when(plus == 1, step(1, F.lit(0), minus)).otherwise(none),
-                        F.when((plus == 0) & (minus == 1), step(-1, plus, F.lit(0))).otherwise(none))
-        gone = open_.select("word", "n", "_path", "_node", F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("_s"))
-        front = gone.select("word", "n", "_path", F.col("_s._plus").alias("_plus"), F.col("_s._minus").alias("_minus"),
-                            F.concat("_node", F.array(F.element_at("_path", level + 1) + F.col("_s._step"))).alias("_node"))
+        none = F.lit(None).cast("struct<_next:string,_plus:int,_minus:int>")
+
+        def step(at: str, more, less):
+            return F.struct(F.substring(at, level + 1, 1).alias("_next"), more.alias("_plus"), less.alias("_minus"))
+
+        steps = F.array(step("_path", plus, minus),
+                        F.when(plus == 1, step("_up", F.lit(0), minus)).otherwise(none),
+                        F.when((plus == 0) & (minus == 1), step("_down", plus, F.lit(0))).otherwise(none))
+        gone = open_.select("word", "n", "_path", "_up", "_down", "_node",
+                            F.explode(F.filter(steps, lambda s: s.isNotNull())).alias("_s"))
+        front = gone.select("word", "n", "_path", "_up", "_down", F.col("_s._plus").alias("_plus"),
+                            F.col("_s._minus").alias("_minus"), F.concat("_node", "_s._next").alias("_node"))
         level += 1
 
 
@@ -156,61 +178,63 @@ def one_apart(a: str, b: str) -> bool:
 
 
 class Leaf:
-    """Words of one vector, hence of one length; many are looked up by either half."""
-
-    def __init__(self) -> None:
-        self.words: list[tuple[str, int]] = []
-        self.halves: dict | None = None
-
-    def candidates(self, word: str) -> list[tuple[str, int]]:
-        if len(self.words) <= SMALL:
-            return self.words
-        half = len(self.words[0][0]) // 2
-        if self.halves is None:
-            self.halves = {}
-            for entry in self.words:
-                for key in ((0, entry[0][:half]), (1, entry[0][half:])):
-                    self.halves.setdefault(key, []).append(entry)
-        tail = half - (len(self.words[0][0]) - len(word))
-        return list({*self.halves.get((0, word[:half]), ()), *self.halves.get((1, word[tail:]), ())})
-
-
-class Trie:
-    """A subtree: nested dicts by count, leaves at the end."""
-
-    def __init__(self, level: int) -> None:
-        self.level, self.top = level, {}
-
-    def add(self, word: str, n: int, path: list[int]) -> None:
-        node = self.top
-        for count in path[self.level:-1]:
-            node = node.setdefault(count, {})
-        last = path[-1] if self.level < len(path) else -1
-        if last not in node:
-            node[last] = Leaf()
-        node[last].words.append((word, n))
-
-    def near(self, word: str, path: list[int], plus: int, minus: int) -> Iterator[tuple[str, int]]:
-        """Words one letter away, each pair from one side."""
-        stack = [(self.top, self.level, plus, minus)]
-        while stack:
-            node, level, plus, minus = stack.pop()
-            if isinstance(node, Leaf):
-                for other, n in node.candidates(word):
-                    # One vector: both ask, the smaller word counts.
-                    if (not (plus and minus) or word < other) and one_apart(word, other):
-                        yield other, n
-                continue
-            if level == LEVELS:  # a cell that is one leaf
-                stack.append((node[-1], level, plus, minus))
-                continue
-            count = path[level]
-            if count in node:
-                stack.append((node[count], level + 1, plus, minus))
-            if plus and count + 1 in node:
-                stack.append((node[count + 1], level + 1, 0, minus))
-            if minus and not plus and count - 1 in node:
-                stack.append((node[count - 1], level + 1, plus, 0))
+    """Many words of one vector, hence of one length, looked up by either half."""
+
+    def __init__(self, entries: list[tuple[str, str, int]]) -> None:
+        self.length = len(entries[0][1])
+        self.halves: dict = {}
+        for _, word, n in entries:
+            for key in ((0, word[:self.length // 2]), (1, word[self.length // 2:])):
+                self.halves.setdefault(key, []).append((word, n))
+
+    def candidates(self, word: str) -> set[tuple[str, int]]:
+        half = self.length // 2
+        tail = half - (self.length - len(word))
+        return {*self.halves.get((0, word[:half]), ()), *self.halves.get((1, word[tail:]), ())}
+
+
+def grown(entries: list[tuple[str, str, int]], level: int):
+    """The subtree of sorted (path, word, n): dicts by count; few words stay a list, many of one vector are a leaf."""
+    if len(entries) <= SMALL:
+        return entries
+    if level == LEVELS:
+        return Leaf(entries)
+    edges = [0, *(i for i in range(1, len(entries)) if entries[i][0][level] != entries[i - 1][0][level]), len(entries)]
+    return {entries[a][0][level]: grown(entries[a:b], level + 1) for a, b in zip(edges, edges[1:])}
+
+
+def near(tree, level: int, word: str, path: str, plus: int, minus: int) -> Iterator[tuple[str, int]]:
+    """Words of a subtree one letter away, each pair from one side."""
+    stack = [(tree, level, plus, minus)]
+    size = len(word)
+    while stack:
+        node, level, plus, minus = stack.pop()
+        kind = type(node)
+        if kind is dict:
+            here = path[level]
+            if (kid := node.get(here)) is not None:
+                stack.append((kid, level + 1, plus, minus))
+            if plus:
+                if (kid := node.get(shifted(here, 1))) is not None:
+                    stack.append((kid, level + 1, 0, minus))
+            elif minus and (kid := node.get(shifted(here, -1))) is not None:
+                stack.append((kid, level + 1, plus, 0))
+        elif kind is list:
+            for other_path, other, n in node:
+                # The first in the trie's order asks; of one vector the smaller word.
+                if 0 <= len(other) - size <= 1 and (other_path > path or other_path == path and word < other) and (
+                        one_apart(word, other)):
+                    yield other, n
+        else:
+            for other, n in node.candidates(word):
+                if (not (plus and minus) or word < other) and one_apart(word, other):
+                    yield other, n
+
+
+@lru_cache(4096)
+def shifted(character: str, by: int) -> str:
+    code = ord(character) + by
+    return chr(code + 0x800 * by if 0xD800 <= code < 0xE000 else code)
 
 
 def near_words(words: DataFrame, cell: int = CELL, asking: int = ASKING) -> DataFrame:
@@ -229,10 +253,10 @@ def near_words(words: DataFrame, cell: int = CELL, asking: int = ASKING) -> Data
     asks = rows.select(*columns, F.lit(False).alias("_held"), F.explode(F.sequence(F.lit(0), chunks - 1)).alias("_chunk"),
                        F.pmod(number, F.col("_slices")).cast("int").alias("_slice"))
     key = ["_node", "_chunk", "_slice"]
-    laid = held.unionByName(asks).repartition(*key).sortWithinPartitions(*key, F.col("_held").desc(), "word")
+    laid = held.unionByName(asks).repartition(*key).sortWithinPartitions(*key, F.col("_held").desc())
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, trie, best = None, None, {}
+        now, entries, tree, best = None, [], None, {}
 
         def meet(word: str, other: str, n: int) -> None:
             times, least = best.get(word, (0, (1, "")))
@@ -244,11 +268,12 @@ def near_words(words: DataFrame, cell: int = CELL, asking: int = ASKING) -> Data
                 if place != now:
                     if best:
                         yield partial(best)
-                    now, trie, best = place, Trie(len(place[0])), {}
+                    now, entries, tree, best = place, [], None, {}
                 if held:
-                    trie.add(word, n, path)
-                elif trie.top:
-                    for other, m in trie.near(word, path, plus, minus):
+                    entries.append((path, word, n))
+                elif entries:
+                    tree = tree or grown(sorted(entries), len(place[0]))
+                    for other, m in near(tree, len(place[0]), word, path, plus, minus):
                         meet(word, other, m)
                         meet(other, word, n)
         if best:
