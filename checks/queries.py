@@ -278,6 +278,12 @@ def token_syllables(spark: SparkSession, sf: str) -> DataFrame:
     return word_rows(spark, sf).select(*ROW, "tok_idx", "syllables")
 
 
+def token_pos_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags of every token by the best path of a model fitted on all sentences."""
+    fitted = annotate.fit_tagger(docs(spark, sf))
+    return annotate.token_table(docs(spark, sf), model=fitted).select(*ROW, "tok_idx", "text", "pos")
+
+
 def syntactic_similarity(spark: SparkSession, sf: str) -> DataFrame:
     rows = syntax.syntactic_similarity(annotate.token_table(docs(spark, sf)))
     return rows.select(*ROW, *r6("syntactic_similarity_prev"))
@@ -550,7 +556,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [train_read, train_valid_rows, train_optional_numeric, train_first_n, lexicon_norms,
              ruleset_phrases, entities_read, weights_load, page_text, first_matching_link,
              failed_extractions, concat_pages, sentences, dot_segments, tokens, token_pos,
-             token_lemma, token_dep, token_syllables, syntactic_similarity, latent_cohesion, word_zipf, hashed_embedding,
+             token_lemma, token_dep, token_syllables, token_pos_context, syntactic_similarity, latent_cohesion, word_zipf, hashed_embedding,
              surface_connectives, surface_phrases, function_content_ratio, lexical_syllables,
              doc_lemma_sets, doc_lexical_diversity, cosine_adjacent, cosine_all_previous,
              profile_wide, profile_stats, feature_vector, training_pairs, train_gbt, train_linear,

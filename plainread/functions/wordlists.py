@@ -105,6 +105,20 @@ EMBEDDING_WIDTH = 384
 
 # --- part-of-speech classes used by the features ------------------------------
 
+#: Tags a listed word may have besides its first.
+AMBIGUOUS_WORDS = {
+    "that": ["SCONJ", "DET", "PRON"], "this": ["DET", "PRON"], "these": ["DET", "PRON"], "those": ["DET", "PRON"],
+    "her": ["PRON", "DET"], "his": ["DET", "PRON"], "to": ["PART", "ADP"], "as": ["SCONJ", "ADP", "ADV"],
+    "so": ["ADV", "SCONJ"], "since": ["SCONJ", "ADP"], "until": ["SCONJ", "ADP"], "before": ["SCONJ", "ADP", "ADV"],
+    "after": ["SCONJ", "ADP", "ADV"], "than": ["SCONJ", "ADP"], "like": ["ADP", "VERB", "SCONJ"], "one": ["NUM", "PRON"],
+    "all": ["DET", "PRON", "ADV"], "some": ["DET", "PRON"], "any": ["DET", "PRON"], "both": ["DET", "PRON", "CCONJ"],
+    "more": ["ADJ", "ADV", "PRON"], "most": ["ADJ", "ADV", "PRON"], "have": ["AUX", "VERB"], "has": ["AUX", "VERB"],
+    "had": ["AUX", "VERB"], "do": ["AUX", "VERB"], "does": ["AUX", "VERB"], "did": ["AUX", "VERB"],
+    "up": ["ADP", "ADV"], "down": ["ADP", "ADV"], "over": ["ADP", "ADV"], "out": ["ADP", "ADV"],
+}
+#: Tags a word that is not listed may have, by the tag its form gives.
+OPEN_CHOICES = {"NOUN": ["NOUN", "VERB", "ADJ"], "VERB": ["VERB", "NOUN", "ADJ"], "ADJ": ["ADJ", "NOUN", "ADV"],
+                "ADV": ["ADV", "ADJ"], "PROPN": ["PROPN", "NOUN", "ADJ"]}
 CONTENT_POS = ["NOUN", "VERB", "ADJ", "ADV"]
 FREQUENCY_POS = ["NOUN", "PROPN", "VERB", "ADJ", "ADV"]
 CONJUNCTION_POS = ["CCONJ", "SCONJ"]

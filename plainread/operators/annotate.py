@@ -19,7 +19,9 @@ from pyspark.sql import functions as F
 
 from plainread.functions import rules
 from plainread.functions import wordlists as W
+from plainread.operators import tagger
 from plainread.operators.segment import sentence_array, token_array
+from plainread.session import materialize
 
 DEP_BY_POS = {"DET": "det", "ADP": "prep", "ADJ": "amod", "NUM": "nummod", "CCONJ": "cc",
               "SCONJ": "mark", "AUX": "aux", "ADV": "advmod", "PART": "aux", "PUNCT": "punct",
@@ -31,9 +33,12 @@ TABLE_COLUMNS = ["tok_idx", "text", "lemma", "pos", "dep", "head_idx", "is_alpha
 
 
 def word_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text",
-                extra: str | None = None, carry: bool = False) -> DataFrame:
+                extra: str | None = None, carry: bool = False, model: tagger.Tagger | None = None) -> DataFrame:
     """(keys, sent_id, n_chars, [extra], [carried], WORD_COLUMNS): token rows of ``docs``.
 
+    With ``model`` (``fit_tagger``) words are tagged in context, which gathers sentences once: ``docs``
+    should be partitioned by the keys.
+
     Narrow: no shuffle.  A document without sentences keeps one row of nulls, so
     that it is not lost.  ``extra`` names an array column with one entry per
     sentence; its entry is put on every token row of the sentence.  ``carry`` puts the
@@ -41,6 +46,45 @@ def word_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
     """
     keys = list(keys)
     more = [*([] if extra is None else [extra]), *(["carried"] if carry else [])]
+    rows = rule_words(docs, keys, text, extra, carry)
+    lower, word = F.col("lower"), F.col("text")
+    if model is not None:
+        rows = in_context(rows, keys, model)
+    pos, verb = F.col("pos"), F.col("pos") == "VERB"
+    stem = F.concat(F.left(lower, F.length(lower) - F.col("suffix_drop")), F.col("suffix_add"))
+    base = F.coalesce("listed_lemma", F.when(rules.one_of(pos, ["VERB", "NOUN"]), stem), lower)
+    rows = rows.select(
+        *keys, "sent_id", *more, "n_chars", "tok_idx", "text", "lower", "pos",
+        base.alias("base"), "listed_flag",
+        (F.col("listed_flag").isNotNull() | ~rules.one_of(pos, ["PUNCT", "NUM"])).alias("is_alpha"),
+        (verb & rules.one_of(F.col("_suffix"), ["ed", "ied"])).alias("_ed"),
+        (verb & (F.col("_suffix") == "ing")).alias("_ing"),
+        (verb & F.coalesce("is_past", F.lit(False))).alias("_past"),
+        (verb & lower.endswith(F.lit("en"))).alias("_en"))
+
+    def bit(test: Column, value: int) -> Column:
+        return F.when(test, value).otherwise(0)
+
+    ed, ing = F.col("_ed"), F.col("_ing")
+    labels = F.create_map(*[F.lit(x) for pair in DEP_BY_POS.items() for x in pair])
+    return rows.select(
+        *keys, "sent_id", *more, "n_chars", "tok_idx", "text", "lower", "base",
+        F.when(pos == "PROPN", word).otherwise(F.col("base")).alias("lemma"), "pos", "is_alpha",
+        rules.syllables(lower, F.col("is_alpha")).alias("syllables"),
+        F.when(ed | F.col("_past"), "Past").when(ing, "Pres").alias("tense"),
+        F.when(ing, "Prog").alias("aspect"),
+        (F.coalesce("listed_flag", F.lit(0)) + bit(ed | F.col("_en"), rules.PARTICIPLE)
+         + bit(rules.one_of(pos, rules.NOMINAL_POS), rules.NOMINAL)
+         + bit(rules.one_of(pos, rules.FORWARD_POS), rules.FORWARD)
+         + bit(ed, rules.ED)).alias("flag"),
+        F.coalesce(F.try_element_at(labels, pos), F.lit("dep")).alias("label"))
+
+
+def rule_words(docs: DataFrame, keys: Sequence[str], text: str = "text", extra: str | None = None,
+               carry: bool = False) -> DataFrame:
+    """Word rows with the tag the rules give and what the tables list for the word."""
+    keys = list(keys)
+    more = [*([] if extra is None else [extra]), *(["carried"] if carry else [])]
     docs = docs.select(*docs.columns, F.col(text).alias("carried")) if carry else docs
     whole = ["carried"] if carry else []
     if extra is None:
@@ -71,38 +115,36 @@ def word_tokens(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str =
                     & (F.coalesce("suffix_tag", F.lit("NOUN")) == "NOUN"), "PROPN"),
                     "suffix_tag", F.lit("NOUN")))
                 .when(word.rlike(r"^\p{N}"), "NUM").when(word.isNotNull(), "PUNCT"))
-    rows = rows.select(
-        *keys, "sent_id", *more, "n_chars", "tok_idx", "text", "lower", "_suffix",
+    return rows.select(
+        *keys, "sent_id", *more, "n_chars", "tok_idx", "text", "lower", "_suffix", "listed_tag",
         "listed_lemma", "listed_flag", "is_past", "suffix_drop", "suffix_add",
         F.coalesce("listed_tag", open_tag).alias("pos"))
-    pos, verb = F.col("pos"), F.col("pos") == "VERB"
-    stem = F.concat(F.left(lower, F.length(lower) - F.col("suffix_drop")), F.col("suffix_add"))
-    base = F.coalesce("listed_lemma", F.when(rules.one_of(pos, ["VERB", "NOUN"]), stem), lower)
-    rows = rows.select(
-        *keys, "sent_id", *more, "n_chars", "tok_idx", "text", "lower", "pos",
-        base.alias("base"), "listed_flag",
-        (F.col("listed_flag").isNotNull() | ~rules.one_of(pos, ["PUNCT", "NUM"])).alias("is_alpha"),
-        (verb & rules.one_of(F.col("_suffix"), ["ed", "ied"])).alias("_ed"),
-        (verb & (F.col("_suffix") == "ing")).alias("_ing"),
-        (verb & F.coalesce("is_past", F.lit(False))).alias("_past"),
-        (verb & lower.endswith(F.lit("en"))).alias("_en"))
 
-    def bit(test: Column, value: int) -> Column:
-        return F.when(test, value).otherwise(0)
 
-    ed, ing = F.col("_ed"), F.col("_ing")
-    labels = F.create_map(*[F.lit(x) for pair in DEP_BY_POS.items() for x in pair])
-    return rows.select(
-        *keys, "sent_id", *more, "n_chars", "tok_idx", "text", "lower", "base",
-        F.when(pos == "PROPN", word).otherwise(F.col("base")).alias("lemma"), "pos", "is_alpha",
-        rules.syllables(lower, F.col("is_alpha")).alias("syllables"),
-        F.when(ed | F.col("_past"), "Past").when(ing, "Pres").alias("tense"),
-        F.when(ing, "Prog").alias("aspect"),
-        (F.coalesce("listed_flag", F.lit(0)) + bit(ed | F.col("_en"), rules.PARTICIPLE)
-         + bit(rules.one_of(pos, rules.NOMINAL_POS), rules.NOMINAL)
-         + bit(rules.one_of(pos, rules.FORWARD_POS), rules.FORWARD)
-         + bit(ed, rules.ED)).alias("flag"),
-        F.coalesce(F.try_element_at(labels, pos), F.lit("dep")).alias("label"))
+def in_context(rows: DataFrame, keys: Sequence[str], model: tagger.Tagger) -> DataFrame:
+    """Rule-tagged word rows with the tags of each sentence's best path; all else as it was."""
+    place = [*keys, "sent_id"]
+    others = [c for c in rows.columns if c not in place]
+    listed = F.col("_all.listed_tag").isNotNull()
+    packed = rows.select(*place, F.struct("tok_idx", *[c for c in others if c != "tok_idx"]).alias("_all"))
+    cell = rules.hash_bucket(F.col("_all.lower"), model.emit.shape[1])
+    word = F.when(F.col("_all.tok_idx").isNotNull(), F.struct(
+        cell.alias("cell"), tagger.choices(F.col("_all.pos"), F.col("_all.lower"), listed).alias("mask"),
+        F.lit(-1).alias("tag")))
+    held = packed.select(*place, F.struct("_all", word.alias("word")).alias("_one")).groupBy(*place).agg(
+        F.sort_array(F.collect_list("_one")).alias("_ones"))
+    words = F.filter("_ones.word", lambda w: w.isNotNull())
+    tagged = held.select(*place, "_ones", tagger.tags_of(words, model).alias("_tags"))
+    one = tagged.select(*place, F.posexplode("_ones._all").alias("_i", "_all"), "_tags")
+    return one.select(*place, *[(F.get("_tags", F.col("_i")) if c == "pos" else F.col(f"_all.{c}")).alias(c) for c in others])
+
+
+def fit_tagger(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text", cells: int = tagger.CELLS,
+               rounds: int = tagger.ROUNDS) -> tagger.Tagger:
+    """A model of tags in context, learned from all sentences of ``docs``."""
+    words = rule_words(docs.select(*keys, text).repartition(*keys), keys, text)
+    rows = materialize(tagger.sentence_words(words.withColumn("listed", F.col("listed_tag").isNotNull()), keys, cells), "words")
+    return tagger.fit(rows, cells, rounds)
 
 
 def gather(tokens: DataFrame, keys: Sequence[str], fields: Sequence[str],
@@ -185,15 +227,15 @@ def relate(rows: DataFrame) -> DataFrame:
         F.transform(flag, head).alias("head"), F.transform("tok", aspect).alias("aspect"))
 
 
-def token_table(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text"
-                ) -> DataFrame:
+def token_table(docs: DataFrame, keys: Sequence[str] = ("doc_id",), text: str = "text",
+                model: tagger.Tagger | None = None) -> DataFrame:
     """The full token table of ``docs``: (keys, sent_id, TABLE_COLUMNS).
 
     The exchange moves each text once; gathering sentences reuses it, as does any grouping of the
     result by ``keys``.
     """
     docs = docs.select(*keys, text).repartition(*keys)
-    rows = relate(gather(word_tokens(docs, keys, text), keys, WORD_COLUMNS))
+    rows = relate(gather(word_tokens(docs, keys, text, model=model), keys, WORD_COLUMNS))
     one = F.explode(F.arrays_zip("tok", "dep", "head", "aspect")).alias("t")
     rows = rows.select(*keys, "sent_id", one)
     names = {"dep": "t.dep", "head_idx": "t.head", "aspect": "t.aspect"}
