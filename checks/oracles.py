@@ -480,6 +480,30 @@ def entity_sql() -> str:
             "LEFT JOIN scored s ON s.doc_id = p.page_id LEFT JOIN modelled m ON m.doc_id = p.page_id")
 
 
+ABBREVIATIONS = r"""
+dotted AS (
+  SELECT rtrim(w, '.') AS word, count(*) AS n, count(*) FILTER (w LIKE '%.') AS n_dotted
+  FROM (SELECT unnest(regexp_extract_all(lower(text), '\p{L}+(?:[.]\p{L}+)*[.]?')) AS w FROM documents) GROUP BY ALL),
+rated AS (
+  SELECT word, n, n_dotted, n - n_dotted AS rest, length(replace(word, '.', '')) AS letters,
+    sum(n_dotted) OVER () * 1.0 / sum(n) OVER () AS share FROM dotted),
+known AS (
+  SELECT word, n, n_dotted, -2.0 * (n_dotted * ln(share / 0.99) + rest * ln((1.0 - share) / 0.01)) * exp(-letters)
+    * (length(word) - letters + 1) * pow(letters::DOUBLE, -rest) AS score FROM rated WHERE n_dotted > 0)"""
+KNOWN_SENTENCES = r"""
+piece AS (
+  SELECT doc_id, unnest(range(len(ps))) AS spot, unnest(ps) AS piece FROM (SELECT doc_id, regexp_extract_all(text,
+    '(?:[^.!?\n]+|[.][^ \t\n\f\r\x0B.!?])[^.!?\n]*(?:[.][^ \t\n\f\r\x0B.!?][^.!?\n]*)*[.!?]*\n?') AS ps FROM documents)),
+marked AS (
+  SELECT *, CASE WHEN lower(regexp_extract(piece, '(\p{L}+(?:[.]\p{L}+)*)[.] *$', 1)) IN
+    (SELECT word FROM known WHERE score >= 0.3) THEN 1 ELSE 0 END AS open FROM piece),
+grouped AS (
+  SELECT *, sum(1 - before) OVER (PARTITION BY doc_id ORDER BY spot) AS no FROM (
+    SELECT *, coalesce(lag(open) OVER (PARTITION BY doc_id ORDER BY spot), 0) AS before FROM marked)),
+whole AS (
+  SELECT doc_id, no, trim(replace(string_agg(piece, '' ORDER BY spot), chr(10), '')) AS text FROM grouped GROUP BY ALL)"""
+
+
 def all_sql() -> dict[str, str]:
     lex = (CORPUS_TOK, NORMS)
     sets = {"content_lemmas": f"pos IN {quoted(W.CONTENT_POS)}", "noun_lemmas": "pos = 'NOUN'",
@@ -515,6 +539,11 @@ def all_sql() -> dict[str, str]:
                         r"'^[ \t\n\f\r]+|[ \t\n\f\r]+$', '', 'g') AS text FROM conversations "
                         "WHERE text <> '' GROUP BY conv_id",
         "sentences": annotated("SELECT doc_id, sent_id, text FROM sent"),
+        "abbreviations": f"WITH {ABBREVIATIONS} SELECT word, n, n_dotted, round(score, 6) AS score FROM known "
+                         "WHERE score >= 0.3",
+        "known_sentences": f"WITH {ABBREVIATIONS}, {KNOWN_SENTENCES} SELECT doc_id, "
+                           "(row_number() OVER (PARTITION BY doc_id ORDER BY no) - 1)::INTEGER AS sent_id, text "
+                           f"FROM whole WHERE regexp_matches(text, '{W.VISIBLE_PATTERN}')",
         "dot_segments": "SELECT doc_id, unnest(range(len(p)))::INTEGER AS seg_id, unnest(p) AS sentence "
                         "FROM (SELECT doc_id, string_split(text, '.') AS p FROM documents)",
         "tokens": annotated(r"SELECT doc_id, sent_id, tok_idx, text, regexp_matches(text, '^\p{L}+$') "

@@ -249,6 +249,19 @@ def sentences(spark: SparkSession, sf: str) -> DataFrame:
     return segment.sentences(docs(spark, sf))
 
 
+@once
+def known_abbreviations(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.abbreviations(docs(spark, sf))
+
+
+def abbreviations(spark: SparkSession, sf: str) -> DataFrame:
+    return known_abbreviations(spark, sf).select("word", "n", "n_dotted", *r6("score"))
+
+
+def known_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    return segment.known_sentences(docs(spark, sf), known_abbreviations(spark, sf))
+
+
 def dot_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segment.dot_segments(docs(spark, sf), keep_blank=True)
 
@@ -555,7 +568,7 @@ SENTENCE_FEATURES: dict[str, Sequence[str]] = {
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [train_read, train_valid_rows, train_optional_numeric, train_first_n, lexicon_norms,
              ruleset_phrases, entities_read, weights_load, page_text, first_matching_link,
-             failed_extractions, concat_pages, sentences, dot_segments, tokens, token_pos,
+             failed_extractions, concat_pages, sentences, abbreviations, known_sentences, dot_segments, tokens, token_pos,
              token_lemma, token_dep, token_syllables, token_pos_context, syntactic_similarity, latent_cohesion, word_zipf, hashed_embedding,
              surface_connectives, surface_phrases, function_content_ratio, lexical_syllables,
              doc_lemma_sets, doc_lexical_diversity, cosine_adjacent, cosine_all_previous,
