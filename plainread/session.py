@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +34,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of the tables written since the innermost ``recorded`` began.
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths of the tables that ``materialize`` writes meanwhile."""
+    paths: list[str] = []
+    _recorders.append(paths)
+    try:
+        yield paths
+    finally:
+        _recorders.remove(paths)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes intermediate tables that no plan reads any more, and has Spark remove the shuffle files of
+    finished work, which otherwise stay until the driver happens to collect garbage."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write once, read back: cuts the lineage, keeps column pruning and file sizes.
 
     The table lies on shared storage, so a lost executor costs a re-read only.
     """
     path = new_path(df.sparkSession, name)
+    for paths in _recorders:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
