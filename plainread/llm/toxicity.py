@@ -35,7 +35,6 @@ LEAST_PREFIX, MOST_PREFIX = 4, 12
 MIN_DOCS = 3
 MIN_WEIGHT = 2.0
 MARGIN = 4.0
-MAX_TERMS = 20_000
 EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "pond scum", "not stupid",
               "not an idiot", "not a loser", "not worthless")
 #: Letters written by look-alikes.
@@ -119,8 +118,12 @@ def evidence(folded: str, automaton: ahocorasick.Automaton) -> tuple[float, floa
     found, spared = [], []
     for end, (size, weight) in automaton.iter(folded):
         (spared if weight is None else found).append((end + 1 - size, end + 1, weight))
-    if spared:
-        found = [f for f in found if not any(a <= f[0] and f[1] <= b for a, b, _ in spared)]
+    if spared and found:
+        # A match is spared if an exception that begins no later ends no earlier.
+        begins, ends = np.array(sorted((a, b) for a, b, _ in spared)).T
+        reach = np.r_[-1, np.maximum.accumulate(ends)]
+        before = np.searchsorted(begins, [f[0] for f in found], "right")
+        found = [f for f, end in zip(found, reach[before].tolist()) if end < f[1]]
     best: dict[int, float] = {}
     for begin, _, weight in found:  # one match a word: its strongest term
         best[begin] = max(weight, best.get(begin, 0.0))
@@ -182,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     chance = t * F.log(t / ((t + o) * base)) + F.when(o > 0, o * F.log(o / ((t + o) * (1 - base)))).otherwise(0)
     found = (counts.filter(t >= MIN_DOCS).withColumn("_w", weight)
              .filter((F.col("_w") >= min_weight) & (chance >= math.log(max(1, counts.count())) + MARGIN))
-             .orderBy(F.desc(F.col("_w") * t), "_term").limit(MAX_TERMS).collect())
+             .orderBy(F.desc(F.col("_w") * t), "_term").collect())  # bounded by the sampled rows
     weights: dict[str, float] = {}
     for row in found:
         term = row["_term"]

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -419,3 +420,92 @@ def test_pipeline_run(spark, tmp_path):
         assert [o for o, _ in pieces] == [sum(n for _, n in pieces[:k]) for k in range(len(pieces))]
         total = sum(n for _, n in pieces)
         assert total <= 4096 and total & (total - 1) == 0
+
+
+def test_toxicity_is_plain_matching(spark):
+    """Folding, matching and the score against searches term by term, also with very many exceptions."""
+    rng = random.Random(9)
+    parts = ["grump", "slork", "idiot", "clown", "fish", "ab", "cd", "grumpf"]
+    weights = {f" {w}{' ' * (i % 2)}": 1.0 + i / 3 for i, w in enumerate(parts)}
+    lexicon = toxicity.Lexicon(weights, ("clown fish", "ab idiot cd", "fish grump"), (-2.0, 0.7, 0.4))
+    rows = [" ".join(rng.choices([*parts, "x", "Cl0wn", "gr\u00fcmp", "idi0t!"], k=n)) for n in [0, 1, 2, 3, 8, 30, 200] * 6]
+    rows += [None, "", "clown fish " * 20_000 + "clown"]
+    got = toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "i int, t string"), lexicon, text="t").collect()
+
+    def places(folded, term):
+        return [(m.start(), m.start() + len(term)) for m in re.finditer(f"(?={re.escape(term)})", folded)]
+
+    for r in got:
+        folded = toxicity.fold(rows[r.i] or "")
+        spared = [p for e in lexicon.exceptions for p in places(folded, toxicity.fold(e))]
+        if len(spared) > 1000:  # all but the last clown
+            spared = [(0, len(folded) - len(" clown "))]
+        best = {}
+        for term, weight in weights.items():
+            for a, b in places(folded, term):
+                if not any(x <= a and b <= y + (len(spared) == 1 and len(folded) > 10_000) for x, y in spared):
+                    best[a] = max(weight, best.get(a, 0.0))
+        total = sum(best.values()) / math.log2(1 + folded.count(" ")) if best else 0.0
+        logit = -2.0 + 0.7 * total + 0.4 * max(best.values(), default=0.0)
+        assert r.score == pytest.approx(1 / (1 + math.exp(-logit))) and r.n_matches == len(best)
+
+
+def test_repeated_labels_of_one_document(spark):
+    docs_ = spark.createDataFrame([(i, f"plain words {i} " + ("slorky" if i % 2 else "kind")) for i in range(60)], "doc_id bigint, text string")
+    once = [(i, i % 2) for i in range(60)]
+    one = toxicity.fit(docs_, spark.createDataFrame(once, "doc_id bigint, toxic int"))
+    twice = toxicity.fit(docs_, spark.createDataFrame(once * 3, "doc_id bigint, toxic int"))
+    assert one.weights == twice.weights and one.weights
+    both = toxicity.fit(docs_, spark.createDataFrame([*once, (1, 0), (2, None), (None, 1)], "doc_id bigint, toxic int"))
+    assert set(both.weights) == set(one.weights)
+
+
+def test_language_prediction_is_the_nearest_prototype(spark):
+    """Vectors bound and bundled letter by letter, prototypes and the score in plain loops."""
+    rng = random.Random(4)
+    letters_of = {"aa": "abcde ", "bb": "efghi ", "cc": "aeghk "}
+    train = [(i, "".join(rng.choices(letters_of[lang], k=60)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 5)]
+    tests = [(100 + i, "".join(rng.choices(letters_of[lang] + "z", k=n)), None) for i, (lang, n) in enumerate(
+        [("aa", 3), ("bb", 9), ("cc", 40), ("aa", 200), ("bb", 1)])] + [(200, None, None), (201, " 12 ", None), (202, "", None)]
+    schema = "doc_id bigint, text string, lang string"
+    model = language_id.fit(spark.createDataFrame(train, schema), dimensions=128)
+
+    def vector(text):
+        codes = language_id.letters(text or "")
+        total = np.zeros(128)
+        for t in range(len(codes) - 2):
+            bound = np.ones(128)
+            for i in range(3):
+                sign = np.random.default_rng(int(codes[t + 2 - i])).integers(0, 2, 128, np.int8).astype(int) * 2 - 1
+                bound = bound * np.roll(sign, i)
+            total += bound
+        return total
+
+    def unit(v):
+        return v / (np.linalg.norm(v) or 1)
+
+    plain = np.array([unit(sum(unit(vector(t)) for _, t, g in train if g == lang)) for lang in letters_of])
+    prototypes = np.array([unit(p) for p in plain - plain.mean(axis=0)])
+    assert model[0] == list(letters_of) and model[1] == pytest.approx(prototypes, abs=1e-5)
+    found = language_id.predict(spark.createDataFrame(tests, schema), *model, keep=["doc_id"]).collect()
+    for r in found:
+        v = unit(vector(next(t for i, t, _ in tests if i == r.doc_id)))
+        cosines = prototypes @ v
+        if not v.any():
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        assert r.lang_pred == list(letters_of)[int(cosines.argmax())]
+        assert r.score == pytest.approx(1 / np.exp(20 * (cosines - cosines.max())).sum(), rel=1e-4)
+    # Equal prototypes tie: the language first in order.
+    same = spark.createDataFrame([(1, "abc abc", "y"), (2, "abc abc", "x")], schema)
+    tied = language_id.predict(same.select("doc_id", "text"), *language_id.fit(same), keep=["doc_id"]).collect()
+    assert {r.lang_pred for r in tied} == {"x"}
+
+
+def test_copies_enter_the_language_sample_in_their_share(spark):
+    rows = [(i, "one text many times", "aa") for i in range(3000)] + [(5000 + i, f"text {i}", "aa") for i in range(1000)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    drawn = [r["_text"] for r in language_id.draw(table, "text", "lang", 400).collect()]
+    assert 300 < len(drawn) < 500 and 200 < drawn.count("one text many times") < 400
+    again = language_id.draw(table.union(table).drop("doc_id"), "text", "lang", 100_000)
+    assert again.count() == 1001  # rows alike in all columns count once
