@@ -1,7 +1,7 @@
 """Licence texts by diagonal voting, in DataFrame operations alone.
 
-Every rolling k-gram of a document's words is joined with the k-grams of licence templates; the
-template side is small and fixed by the caller, so it is broadcast after its size is checked.  A hit
+Every rolling k-gram of a document's words is joined with the k-grams of licence templates, which are
+broadcast up to a size and shuffled by their hash beyond it.  A hit
 votes for the diagonal document position - template position.  Votes are summed per document,
 template and diagonal; diagonals next to each other (words put in or left out) are merged, and
 the merged span is verified: the share of the template's k-grams it holds decides.  A template that
@@ -30,7 +30,8 @@ DRIFT = 3
 COVERAGE = 0.6
 #: Votes a diagonal needs to count.
 MIN_VOTES = 2
-MAX_TEMPLATE_ROWS = 200_000
+#: Words of all templates up to which they are broadcast.
+BROADCAST_WORDS = 200_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Exact phrases and their labels: fixed values.
 PHRASES = (
@@ -74,16 +75,19 @@ def templates(spark: SparkSession, exact: Sequence[tuple[str, str]], notices: Se
     rows = [(i, label, i < len(exact), text.split()) for i, (label, text) in enumerate([*exact, *notices])]
     if any(len(r[3]) < k for r in rows):
         raise ValueError(f"a template has fewer than {k} words")
-    if sum(len(r[3]) for r in rows) > MAX_TEMPLATE_ROWS:
-        raise ValueError(f"templates of more than {MAX_TEMPLATE_ROWS} words aren't broadcast")
-    table = spark.range(1).select(F.inline(F.array(*[F.struct(
-        F.lit(i).alias("_template"), F.lit(label).alias("_label"), F.lit(whole).alias("_exact"),
-        F.array(*map(F.lit, words)).alias("_words")) for i, label, whole, words in rows])))
+    small = sum(len(r[3]) for r in rows) <= BROADCAST_WORDS
+    if small:
+        table = spark.range(1).select(F.inline(F.array(*[F.struct(
+            F.lit(i).alias("_template"), F.lit(label).alias("_label"), F.lit(whole).alias("_exact"),
+            F.array(*map(F.lit, words)).alias("_words")) for i, label, whole, words in rows])))
+    else:
+        table = spark.createDataFrame(rows, "_template int, _label string, _exact boolean, _words array<string>")
     at = F.explode(F.sequence(F.lit(0), F.size("_words") - k)).alias("_at")
-    return table.select("_template", "_label", "_exact", (F.size("_words") - (k - 1)).alias("_grams"),
+    sheet = table.select("_template", "_label", "_exact", (F.size("_words") - (k - 1)).alias("_grams"),
                         "_words", at).select(
         "_template", "_label", "_exact", "_grams", "_at", gram_hash("_words", "_at", k).alias("_key"),
         *[F.col("_words")[F.col("_at") + i].alias(f"_w{i}") for i in range(k)])
+    return F.broadcast(sheet) if small else sheet
 
 
 def gram_hash(words: str, at: str, k: int) -> Column:
@@ -100,7 +104,7 @@ def votes(docs: DataFrame, sheet: DataFrame, text: str, doc_id: str, k: int) ->
     same = F.col("_hash") == F.col("_key")
     for i in range(k):
         same &= F.col("_words")[F.col("_place") + i] == F.col(f"_w{i}")
-    hits = grams.join(F.broadcast(sheet), same)
+    hits = grams.join(sheet, same)
     # Rows that repeat an id and a text hit the same places: each place counts once.
     return hits.groupBy("_row", "_mark", "_template", "_label", "_exact", "_grams",
                         (F.col("_place") - F.col("_at")).alias("_diagonal")).agg(

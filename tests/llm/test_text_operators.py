@@ -509,3 +509,14 @@ def test_copies_enter_the_language_sample_in_their_share(spark):
     assert 300 < len(drawn) < 500 and 200 < drawn.count("one text many times") < 400
     again = language_id.draw(table.union(table).drop("doc_id"), "text", "lang", 100_000)
     assert again.count() == 1001  # rows alike in all columns count once
+
+
+def test_many_templates_are_not_broadcast(spark, monkeypatch):
+    """The same labels when the templates are shuffled by hash."""
+    table = spark.createDataFrame([(1, "under the MIT license and cc by"), (2, "no licence"), (3, None),
+                                   (4, "licensed under the apache license version 2.0 or the gnu general public license")],
+                                  "doc_id bigint, text string")
+    want = sorted(map(str, license_scan.scan(table).collect()))
+    monkeypatch.setattr(license_scan, "BROADCAST_WORDS", 10)
+    many = license_scan.scan(table)
+    assert sorted(map(str, many.collect())) == want and any("mit" in r for r in want)
