@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plainread.functions import wordlists as W
-from plainread.operators import annotate, cohesion, document, embedding, frequency, latent, lexical
+from plainread.operators import annotate, chart, cohesion, document, embedding, frequency, latent, lexical
 from plainread.operators import phrases, segment, surface, syntax
 from plainread.plans import attribution, model, profile, scores
 from plainread.session import materialize, new_path
@@ -297,6 +297,13 @@ def token_pos_context(spark: SparkSession, sf: str) -> DataFrame:
     return annotate.token_table(docs(spark, sf), model=fitted).select(*ROW, "tok_idx", "text", "pos")
 
 
+def token_dep_chart(spark: SparkSession, sf: str) -> DataFrame:
+    """Heads of every token by the best projective trees over scores learned from all sentences."""
+    table = materialize(annotate.token_table(docs(spark, sf)).filter("tok_idx is not null"), "tokens")
+    rows = chart.with_heads(table, chart.fit(table))
+    return rows.select(*ROW, "tok_idx", "text", "dep", "head_idx")
+
+
 def syntactic_similarity(spark: SparkSession, sf: str) -> DataFrame:
     rows = syntax.syntactic_similarity(annotate.token_table(docs(spark, sf)))
     return rows.select(*ROW, *r6("syntactic_similarity_prev"))
@@ -569,7 +576,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     plain = [train_read, train_valid_rows, train_optional_numeric, train_first_n, lexicon_norms,
              ruleset_phrases, entities_read, weights_load, page_text, first_matching_link,
              failed_extractions, concat_pages, sentences, abbreviations, known_sentences, dot_segments, tokens, token_pos,
-             token_lemma, token_dep, token_syllables, token_pos_context, syntactic_similarity, latent_cohesion, word_zipf, hashed_embedding,
+             token_lemma, token_dep, token_syllables, token_pos_context, token_dep_chart, syntactic_similarity, latent_cohesion, word_zipf, hashed_embedding,
              surface_connectives, surface_phrases, function_content_ratio, lexical_syllables,
              doc_lemma_sets, doc_lexical_diversity, cosine_adjacent, cosine_all_previous,
              profile_wide, profile_stats, feature_vector, training_pairs, train_gbt, train_linear,
