@@ -38,7 +38,7 @@ LENGTH = 4096
 CELLS = 256
 BITS = 16
 #: Bounds of a generation of remembered words: words, and their characters.
-CACHE, CACHED_CHARS = 500_000, 1 << 23
+CACHE, CACHED_CHARS = 200_000, 1 << 22
 DIRECTIONS = np.random.default_rng(7).standard_normal((CELLS, 3))
 
 
