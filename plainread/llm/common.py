@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Hashable, Iterator, Sequence
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +16,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+#: What a worker process remembers between the tasks of one operator.
+_memory: dict[Hashable, Any] = {}
+
+
+def remembered(key: Hashable, make: Callable[[], Any]) -> Any:
+    """The worker's object of this key, made when first asked for; what another key left is dropped."""
+    if key not in _memory:
+        _memory.clear()
+        _memory[key] = make()
+    return _memory[key]
+
+
+def forget() -> None:
+    """Workers are reused: a stage with memory needs of its own drops what an earlier one remembered."""
+    _memory.clear()
+
+
 def type_of(table: DataFrame, column: str) -> str:
     return table.schema[column].dataType.simpleString()
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plainread.llm.common import each, texts
+from plainread.llm.common import each, forget, texts
 
 DIMENSIONS = 1024
 GRAM = 3
@@ -300,6 +300,7 @@ def predict(docs: DataFrame, languages: list[str], prototypes: np.ndarray, text:
     # Only the text goes to the Python worker, only the findings come back: the row stays in the JVM.
     @F.arrow_udf(f"struct<{types.replace(' ', ':').replace(',:', ',')}>")
     def nearest(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        forget()
         tool = Encoder(model.shape[1] if model.size else DIMENSIONS, gram)
         for column in parts:
             names, scores, fits = [], [], []

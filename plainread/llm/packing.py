@@ -18,7 +18,6 @@ from __future__ import annotations
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import pairwise
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from plainread.llm.common import texts, type_of
+from plainread.llm.common import remembered, texts, type_of
 from plainread.session import materialize
 
 VOCABULARY = "word_bpe_49k.json"
@@ -38,7 +37,7 @@ LENGTH = 4096
 CELLS = 256
 BITS = 16
 #: Bounds of a generation of remembered words: words, and their characters.
-CACHE, CACHED_CHARS = 200_000, 1 << 22
+CACHE, CACHED_CHARS = 500_000, 1 << 23
 DIRECTIONS = np.random.default_rng(7).standard_normal((CELLS, 3))
 
 
@@ -102,9 +101,9 @@ class Encoder:
         return None
 
 
-@lru_cache(2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """The encoder that the worker remembers from task to task."""
+    return remembered(("packing", path), lambda: Encoder(path))
 
 
 def points(ids: list[np.ndarray]) -> np.ndarray:
