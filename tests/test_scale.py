@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from plainread.operators import annotate
+from plainread.operators import annotate, frequency
 from plainread.plans import profile
+from plainread.session import materialize
 from tests.test_operators import docs_of
 
 
@@ -30,3 +31,22 @@ def test_suffixes_are_the_longest(spark):
     words = ["classes", "boxes", "dishes", "flies", "tried", "s", "this", "glass", "bus", "running", "lyx", "", None]
     found = spark.createDataFrame([(w,) for w in words], "w string").select(rules.suffix_of(F.col("w")).alias("s")).collect()
     assert [r.s for r in found] == ["sses", "xes", "shes", "ies", "ied", "s", "is", "ss", "us", "ing", "", "", None]
+
+
+def test_tables_beyond_the_broadcast_bound_move_no_token_rows(spark, monkeypatch):
+    monkeypatch.setattr("plainread.sources.tables.PART_BYTES", 100)
+    monkeypatch.setattr("plainread.operators.lookup.HEAD_ROWS", 3)
+    for texts in (rows_of(spark), rows_of(spark).union(rows_of(spark, 3)), rows_of(spark).selectExpr(
+            "nullif(doc_id, 1) as doc_id", "text")):
+        zipf = materialize(frequency.word_zipf(frequency.corpus_words(texts)))
+        norms = materialize(zipf.select("word", *[F.length("word").cast("double").alias(n) for n in (
+            "aoa", "concreteness", "familiarity", "imagery")]))
+        small, large = (profile.profile_flat(profile.sentence_features(texts, zipf=zipf, norms=norms, limit=limit))
+                        for limit in (1 << 26, 0))
+        assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0 < small.count()
+        if texts.filter("doc_id is null").isEmpty():
+            large.collect()
+            plan = large._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+            assert moved and "ShuffledHashJoin" in plan
+            assert not any("_salt" in line or "sent_id" in line for line in moved)
