@@ -35,14 +35,12 @@ from plainread.llm.common import each, forget, texts
 
 DIMENSIONS = 1024
 GRAM = 3
-#: Bound of the training sample, rows of a language.
-SAMPLE_ROWS = 4000
 SHARPNESS = 20.0
-#: Pieces of 2^i letters: least and largest i, pieces of a text at each, texts of a language, and how many
-#: a bound needs.
+#: Pieces of 2^i letters: least and largest i, pieces of a text at each, and how many a bound needs.
 LEAST_SIZE, MOST_SIZE = 3, 12
 PIECES = 4
-BOUND_ROWS = 1000
+#: Cosines are counted to so many digits, so that quantiles take bounded memory.
+COSINE_DIGITS = 5
 LEAST_PIECES = 20
 #: A bound lies so many standard deviations (from the lower quartile) under the median of the language's
 #: own pieces, or this share of the way to that median from this quantile of the pieces of others.
@@ -163,10 +161,10 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.where(size > 0, size, 1)
 
 
-def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS,
+def fit(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int | None = None,
         dimensions: int = DIMENSIONS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
-    """(languages, prototypes).  Of each language about ``sample_rows`` rows at most are used,
-    drawn by a hash of the row; rows with a null language are not."""
+    """(languages, prototypes), of all rows with a language and a text.  With ``sample_rows`` about so many
+    rows of each language at most are used, drawn by a hash of the row."""
     languages, matrix = fit_plain(train, text, lang, sample_rows, dimensions, gram)
     return languages, centred(matrix)
 
@@ -175,21 +173,23 @@ def centred(matrix: np.ndarray) -> np.ndarray:
     return unit(matrix - matrix.mean(axis=0) if len(matrix) > 1 else matrix)
 
 
-def draw(train: DataFrame, text: str, lang: str, sample_rows: int) -> DataFrame:
-    """(_lang, _text) of the training sample: about ``sample_rows`` rows of a language, drawn by a hash
+def draw(train: DataFrame, text: str, lang: str, sample_rows: int | None) -> DataFrame:
+    """(_lang, _text) of all training rows, or of a sample: about ``sample_rows`` rows of a language, drawn by a hash
     of the whole row, so texts that are repeated under other ids enter in their share; rows alike in
     all columns count once."""
     whole = [F.col(f"`{f.name}`") for f in train.schema if isinstance(f.dataType, T.AtomicType)]
     rows = train.select(F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").alias("_text"),
                         F.xxhash64(*whole).alias("_key")).filter(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull())
+    if sample_rows is None:
+        return rows.select("_lang", "_text")
     sizes = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
     share = F.lit(float(sample_rows)) / F.col("_n")
     drawn = rows.join(F.broadcast(sizes), "_lang").filter(F.pmod("_key", F.lit(1 << 20)) < share * (1 << 20))
     return drawn.groupBy("_lang", "_key").agg(F.first("_text").alias("_text")).select("_lang", "_text")
 
 
-def fit_plain(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS,
+def fit_plain(train: DataFrame, text: str = "text", lang: str = "lang", sample_rows: int | None = None,
               dimensions: int = DIMENSIONS, gram: int = GRAM) -> tuple[list[str], np.ndarray]:
     """The same before the mean over the languages is subtracted."""
     drawn = draw(train, text, lang, sample_rows)
@@ -229,8 +229,8 @@ class Bounds:
 
 
 def fit_bounds(train: DataFrame, languages: list[str], plain: np.ndarray, text: str = "text", lang: str = "lang",
-               sample_rows: int = BOUND_ROWS, gram: int = GRAM) -> Bounds:
-    """Bounds from pieces of a sample of ``train``; ``plain`` as ``fit_plain`` gives it."""
+               sample_rows: int | None = None, gram: int = GRAM) -> Bounds:
+    """Bounds from pieces of the texts of ``train``, all of them unless ``sample_rows`` is given; ``plain`` as ``fit_plain`` gives it."""
     least = np.full((len(languages), MOST_SIZE + 1), -1.0)
     number = {name: i for i, name in enumerate(languages)}
 
@@ -268,10 +268,11 @@ def fit_bounds(train: DataFrame, languages: list[str], plain: np.ndarray, text:
     if not len(languages):
         return Bounds(plain, least)
     found = draw(train, text, lang, sample_rows).mapInArrow(measure, "_l int, _i int, _cos double")
+    counted = found.groupBy("_l", "_i", F.round("_cos", COSINE_DIGITS).alias("_cos")).agg(F.count("*").alias("_n"))
     # A row a language and length; those of all strangers have the language -1.
-    marks = {(r["_l"], r["_i"]): r for r in found.groupBy("_l", "_i").agg(
-        F.count("*").alias("n"), F.percentile("_cos", F.lit(0.25)).alias("quarter"),
-        F.percentile("_cos", F.lit(0.5)).alias("half"), F.percentile("_cos", F.lit(STRANGERS)).alias("high")).collect()}
+    marks = {(r["_l"], r["_i"]): r for r in counted.groupBy("_l", "_i").agg(
+        F.sum("_n").alias("n"), *[F.percentile("_cos", F.lit(share), "_n").alias(name) for share, name in (
+            (0.25, "quarter"), (0.5, "half"), (STRANGERS, "high"))]).collect()}
     marks = {key: r for key, r in marks.items() if r["n"] >= LEAST_PIECES}
     for a in range(len(languages)):
         high = None
