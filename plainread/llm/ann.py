@@ -41,6 +41,8 @@ LEAST_SAMPLE = 8
 RECALL = 0.95
 TILE_ROWS, TILE_QUERIES = 2048, 512
 SPARE = 16
+#: Queries whose finds a task holds before it passes them on.
+HELD_QUERIES = 1 << 14
 NEAR = pa.list_(pa.struct([("less", pa.float64()), ("vec_id", pa.int64())]))
 
 
@@ -251,6 +253,21 @@ def nearest_rows(rows: DataFrame, k: int, recall: float, leaf_rows: int, sample_
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
+        best: dict[int, list[dict]] = {}
+
+        def merged(found: Iterator[tuple[int, list[dict]]]) -> Iterator[pa.RecordBatch]:
+            """A query's finds in all tiles of the task are one list of k; many queries are passed on."""
+            for asked, near in found:
+                best[asked] = sorted(best.get(asked, []) + near, key=lambda c: (c["less"], c["vec_id"]))[:k]
+            if len(best) > HELD_QUERIES:
+                yield passed_on()
+
+        def passed_on() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(list(best), pa.int64()), pa.array(list(best.values()), NEAR)],
+                                             ["query_id", "near"])
+            best.clear()
+            return out
+
         for batch in batches:
             keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in tile], axis=1)
             edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
@@ -259,14 +276,15 @@ def nearest_rows(rows: DataFrame, k: int, recall: float, leaf_rows: int, sample_
                     continue
                 now = tuple(keys[a])
                 if key is not None and now != key:
-                    yield from products(held)
+                    yield from merged(products(held))
                     held = []
                 key = now
                 held.append(batch.slice(a, b - a))
         if held:
-            yield from products(held)
+            yield from merged(products(held))
+        yield passed_on()
 
-    def products(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def products(held: list[pa.RecordBatch]) -> Iterator[tuple[int, list[dict]]]:
         rows_ = pa.Table.from_batches(held).combine_chunks()
         kind = np.asarray(rows_.column("_kind").combine_chunks())
         number = np.asarray(rows_.column("_number").combine_chunks())
@@ -275,7 +293,6 @@ def nearest_rows(rows: DataFrame, k: int, recall: float, leaf_rows: int, sample_
         if not n or n == len(kind):
             return
         ids = rows_.column("_ids").combine_chunks().slice(n)
-        asked_, near_ = [], []
         # k distinct vectors hold the k best rows, and the query's own may be one more.
         for i, at, exact in best_of(vectors[:n], vectors[n:], number[n:], k + 1):
             own, wide = int(number[i]), k + 1
@@ -284,16 +301,14 @@ def nearest_rows(rows: DataFrame, k: int, recall: float, leaf_rows: int, sample_
                 wide *= 2
                 _, at, exact = next(best_of(vectors[i:i + 1], vectors[n:], number[n:], wide))
                 best = others(ids, at, exact, own, k)
-            asked_.append(own)
-            near_.append(best)
-        yield pa.RecordBatch.from_arrays([pa.array(asked_, pa.int64()), pa.array(near_, NEAR)],
-                                         ["query_id", "near"])
+            yield own, best
 
     found = laid.mapInArrow(multiply, "query_id bigint, near array<struct<less: double, vec_id: bigint>>")
-    # The limit by rank holds before the shuffle as well: a task passes on k candidates of a query.
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("less", "vec_id"))
-    return found.select("query_id", F.inline("near")).withColumn("rank", rank).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "vec_id", (-F.col("less")).alias("score"))
+    # A task passes on one list of k candidates of a query; rows are made of the k that are left.
+    nearest = F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k)
+    return found.groupBy("query_id").agg(nearest.alias("near")).select("query_id", F.posexplode("near").alias(
+        "_at", "_one")).select("query_id", (F.col("_at") + 1).alias("rank"), F.col("_one.vec_id").alias("vec_id"),
+                               (-F.col("_one.less")).alias("score"))
 
 
 def calibrated(index: DataFrame, queries: DataFrame, tree: Tree, k: int, recall: float, rows: int) -> int:

@@ -1,5 +1,6 @@
 """The plans hold at size: partitions follow the bytes, lookups beyond the broadcast bound move no token rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from plainread.operators import annotate, frequency
@@ -50,3 +51,29 @@ def test_tables_beyond_the_broadcast_bound_move_no_token_rows(spark, monkeypatch
             moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
             assert moved and "ShuffledHashJoin" in plan
             assert not any("_salt" in line or "sent_id" in line for line in moved)
+
+
+def test_every_training_row_teaches_the_languages(spark):
+    from plainread.llm import language_id
+
+    draw = np.random.default_rng(3).integers(97, 123, (9000, 12), np.uint8)
+    rows = [("en", bytes(r).decode()) for r in draw]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    _, plain = language_id.fit_plain(train)
+    tool = language_id.Encoder(language_id.DIMENSIONS, language_id.GRAM)
+    whole = sum(language_id.unit(v).astype(float).sum(axis=0) for v in tool.batches(t for _, t in rows))
+    assert abs(plain[0] - language_id.unit(whole)).max() < 1e-5
+
+
+def test_a_task_hands_on_each_query_once(spark):
+    from plainread.llm import ann
+
+    vectors = np.random.default_rng(1).normal(size=(300, 8))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    found = ann.search(table, F.col("vec_id") % 20 == 0, k=5, leaf_rows=20)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline" not in plan
+    rows = found.collect()
+    assert len(rows) == 15 * 5
+    scores = np.array([r.score for r in sorted(rows, key=lambda r: (r.query_id, r.rank))]).reshape(15, 5)
+    assert (np.diff(scores, axis=1) <= 0).all()
