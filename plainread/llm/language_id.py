@@ -181,11 +181,11 @@ def draw(train: DataFrame, text: str, lang: str, sample_rows: int | None) -> Dat
     rows = train.select(F.col(f"`{lang}`").cast("string").alias("_lang"), F.col(f"`{text}`").alias("_text"),
                         F.xxhash64(*whole).alias("_key")).filter(
         F.col("_lang").isNotNull() & F.col("_text").isNotNull())
-    if sample_rows is None:
-        return rows.select("_lang", "_text")
-    sizes = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
-    share = F.lit(float(sample_rows)) / F.col("_n")
-    drawn = rows.join(F.broadcast(sizes), "_lang").filter(F.pmod("_key", F.lit(1 << 20)) < share * (1 << 20))
+    drawn = rows
+    if sample_rows is not None:
+        sizes = rows.groupBy("_lang").agg(F.count("*").alias("_n"))
+        share = F.lit(float(sample_rows)) / F.col("_n")
+        drawn = rows.join(F.broadcast(sizes), "_lang").filter(F.pmod("_key", F.lit(1 << 20)) < share * (1 << 20))
     return drawn.groupBy("_lang", "_key").agg(F.first("_text").alias("_text")).select("_lang", "_text")
 
 
@@ -271,7 +271,7 @@ def fit_bounds(train: DataFrame, languages: list[str], plain: np.ndarray, text:
     counted = found.groupBy("_l", "_i", F.round("_cos", COSINE_DIGITS).alias("_cos")).agg(F.count("*").alias("_n"))
     # A row a language and length; those of all strangers have the language -1.
     marks = {(r["_l"], r["_i"]): r for r in counted.groupBy("_l", "_i").agg(
-        F.sum("_n").alias("n"), *[F.percentile("_cos", F.lit(share), "_n").alias(name) for share, name in (
+        F.sum("_n").alias("n"), *[F.percentile("_cos", F.lit(share), F.col("_n")).alias(name) for share, name in (
             (0.25, "quarter"), (0.5, "half"), (STRANGERS, "high"))]).collect()}
     marks = {key: r for key, r in marks.items() if r["n"] >= LEAST_PIECES}
     for a in range(len(languages)):

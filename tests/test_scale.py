@@ -77,3 +77,13 @@ def test_a_task_hands_on_each_query_once(spark):
     assert len(rows) == 15 * 5
     scores = np.array([r.score for r in sorted(rows, key=lambda r: (r.query_id, r.rank))]).reshape(15, 5)
     assert (np.diff(scores, axis=1) <= 0).all()
+
+
+def test_bounds_are_learned_from_every_row(spark):
+    from plainread.llm import language_id
+
+    texts = [(lang, f"{word} {i} " * 8) for i in range(30) for lang, word in (("en", "the words of dogs"), ("de", "die worte der hunde"))]
+    train = spark.createDataFrame(texts, "lang string, text string")
+    names, plain = language_id.fit_plain(train)
+    whole, part = language_id.fit_bounds(train, names, plain), language_id.fit_bounds(train, names, plain, sample_rows=10**6)
+    assert (whole.least == part.least).all() and (whole.least > -1).any()
