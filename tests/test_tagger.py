@@ -1,10 +1,12 @@
 """The hidden Markov tagger against all paths of short sentences."""
 
+import pickle
 from itertools import product
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark import SparkContext
 from pyspark.sql import functions as F
 
 from plainread.operators import annotate, tagger
@@ -80,6 +82,23 @@ def test_expected_counts_over_all_paths():
         assert a == pytest.approx(b)
 
 
+def test_broadcast_names_no_class_of_this_package(spark, monkeypatch):
+    """A worker loads a broadcast by the names of its classes, and may not have this package."""
+    seen, send = [], SparkContext.broadcast
+
+    def broadcast(self, value):
+        seen.append(pickle.dumps(value))
+        return send(self, value)
+
+    monkeypatch.setattr(SparkContext, "broadcast", broadcast)
+    sentences = [(random_sentence(np.random.default_rng(3), 4),), ([],)]
+    kind = "struct<tok_idx: int, cell: int, mask: int, tag: int>"
+    rows = spark.createDataFrame(sentences, f"words array<{kind}>")
+    tagger.counted(rows, None, 12)
+    tagger.counted(rows, random_model(np.random.default_rng(4)), 12)
+    assert len(seen) == 2 and not any(b"plainread" in s for s in seen)
+
+
 def test_likelihood_never_falls(spark):
     docs = read_table(spark, SF, "documents").select("doc_id", "text").filter("doc_id % 4 = 0")
     model = annotate.fit_tagger(docs, cells=2048, rounds=5)
