@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -38,6 +38,8 @@ CELLS = 256
 BITS = 16
 #: Bounds of a generation of remembered words: words, and their characters.
 CACHE, CACHED_CHARS = 500_000, 1 << 23
+#: Characters of texts whose new words are learned together.
+BLOCK_CHARS = 1 << 13
 DIRECTIONS = np.random.default_rng(7).standard_normal((CELLS, 3))
 
 
@@ -56,49 +58,71 @@ class Encoder:
         self.closing = {c: np.array(self.tool.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ",."}
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.replace("\n", " ").split(" ")
-        parts = list(map(self.known.get, words))
-        if None in parts:
-            if len(self.known) > CACHE or self.chars > CACHED_CHARS:
-                self.known, self.older, self.chars = {}, self.known, 0
-            self.learn({w for w in words if w not in self.known})
-            parts = map(self.known.__getitem__, words)
-        return np.append(np.frombuffer(b"".join(parts), "<u4"), np.uint32(END))
-
-    def learn(self, words: set[str]) -> None:
-        """Adds words.  A word may be known in lower case, or without a comma or full stop after its
-        last letter, which is a token of its own.  The others are encoded together, if normalising
-        keeps their length, and the ids dealt out by their places."""
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text.  Words new to a block of texts are learned together."""
+        held: list[list[str]] = []
+        chars = 0
+        for text in texts:
+            held.append(text.replace("\n", " ").split(" "))
+            chars += len(text)
+            if chars > BLOCK_CHARS:
+                yield from self.block(held)
+                held, chars = [], 0
+        yield from self.block(held)
+
+    def block(self, held: list[list[str]]) -> list[np.ndarray]:
+        if len(self.known) > CACHE or self.chars > CACHED_CHARS:
+            self.known, self.older, self.chars = {}, self.known, 0
+        if new := set().union(*held).difference(self.known):
+            self.learn(list(new))
+        return [np.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4"), np.uint32(END))
+                for words in held]
+
+    def learn(self, words: list[str]) -> None:
+        """Adds words.  Words that differ in case only, or by a comma or full stop after their last letter,
+        which is a token of its own, are learned as one.  What is left is encoded together, if normalising
+        keeps its length, and the ids dealt out by their places."""
+        known, older, closing = self.known, self.older, self.closing
         self.chars += sum(map(len, words))
-        plain = []
-        for word in words:
-            ids = self.older.get(word)
-            if ids is None:
-                low = word.lower()
-                if any(t in low for t in self.special) or not (
-                        word.isascii() or unicodedata.is_normalized("NFC", word)
-                        and len(low) == len(word) and "Σ" not in word):
-                    ids = np.array(self.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-                elif (ids := self.variant(word)) is None:
-                    plain.append(word)
-                    continue
-            self.known[word] = ids
+        whole = " ".join(words)
+        lower = whole.lower()
+        # All words at once, as hardly any block has such words.
+        special = any(t in lower for t in self.special)
+        odd = not whole.isascii()
+        plain: dict[str, bytes] = {}
+        pending = []
+        for word, low in zip(words, lower.split(" ")):
+            if (ids := older.get(word)) is not None:
+                known[word] = ids
+            elif special and any(t in low for t in self.special) or odd and not keeps_length(word, low):
+                known[word] = np.array(self.tool.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            else:
+                tail = closing.get(low[-1:], b"")
+                if tail and low[-2:-1].isalpha():
+                    low = low[:-1]
+                else:
+                    tail = b""
+                if ids := known.get(low) or older.get(low):
+                    known[word] = ids + tail
+                else:
+                    plain[low] = b""
+                    pending.append((word, low, tail))
         if plain:
             made = self.tool.encode(" ".join(plain), add_special_tokens=False)
-            edges = np.searchsorted(np.array(made.offsets)[:, 0] if made.offsets else [],
-                                    np.cumsum([0, *[len(w) + 1 for w in plain]])) * 4
+            starts = np.fromiter((a for a, _ in made.offsets), np.int64, len(made))
+            edges = np.searchsorted(starts, np.cumsum([0, *[len(w) + 1 for w in plain]])) * 4
             raw = np.array(made.ids, "<u4").tobytes()
-            self.known.update(zip(plain, [raw[a:b] for a, b in pairwise(edges.tolist())]))
+            plain.update(zip(list(plain), [raw[a:b] for a, b in pairwise(edges.tolist())]))
+            for word, low, tail in pending:
+                known[word] = plain[low] + tail
 
 
-    def variant(self, word: str) -> bytes | None:
-        low = word.lower()
-        if low != word and (ids := self.known.get(low) or self.older.get(low)):
-            return ids
-        if low[-1:] in (",", ".") and low[-2:-1].isalpha():
-            stem = self.known.get(low[:-1]) or self.older.get(low[:-1])
-            return stem and stem + self.closing[low[-1]]
-        return None
+def keeps_length(word: str, low: str) -> bool:
+    """Whether normalising a word, whose lower case is ``low``, keeps its length."""
+    return word.isascii() or (len(low) == len(word) and "Σ" not in word and unicodedata.is_normalized("NFC", word)
+                              and unicodedata.is_normalized("NFC", low))
 
 
 def encoder(path: str) -> Encoder:
@@ -152,7 +176,7 @@ def curve_rows(docs: DataFrame, text: str, doc_id: str, path: str) -> DataFrame:
         for whole in batches:
             for low in range(0, whole.num_rows, 512):
                 batch = whole.slice(low, 512)
-                ids = [tool.encode(t) for t in texts(batch, "_text")]
+                ids = list(tool.encode_all(texts(batch, "_text")))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("_id"), batch.column("_no"), pa.array(hilbert(points(ids))),
                      pa.array([i.astype(width).tobytes() for i in ids], pa.binary()),

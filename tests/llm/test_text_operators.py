@@ -298,6 +298,23 @@ def test_packing_encodes_as_the_tokenizer():
         for text in order:
             assert made.encode(text).tolist() == tool.encode(text, add_special_tokens=False).ids + [2], text
 
+def test_packing_learns_variants_of_a_word_as_one():
+    made = packing.Encoder(public_tokenizers.path(packing.VOCABULARY))
+    real, asked = made.tool, []
+
+    class Counting:
+        def encode(self, text, **options):
+            asked.append(text)
+            return real.encode(text, **options)
+
+    made.tool = Counting()
+    texts = ["Zebra zebra, ZEBRA. quagga", "quagga. Quagga, 12, 12 a.b. É, é Σας <|endoftext|>, zebra", "", "zebra"]
+    got = [ids.tolist() for ids in made.encode_all(texts)]
+    assert got == [real.encode(t, add_special_tokens=False).ids + [packing.END] for t in texts]
+    words = " ".join(asked).lower().split(" ")
+    assert words.count("zebra") == words.count("quagga") == words.count("é") == 1
+    assert len(asked) == 3  # two words that are encoded alone, and all others together
+
 
 def test_hilbert_curve():
     """Every cell of a small cube once, neighbours on the curve are neighbours in space."""
