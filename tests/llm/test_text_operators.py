@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -250,6 +251,64 @@ def test_jaccard_join(spark, docs, none):
     assert jaccard_join.near_groups(none).count() == 0
 
 
+def near_rows():
+    rng = random.Random(8)
+    base = words(43, 60).split()
+    rows = [(i, " ".join(base[:50] + [f"w{i % 9}"])) for i in range(30)] + [(100 + i, words(i, 30)) for i in range(20)]
+    rows += [rows[3], rows[40], (None, rows[5][1]), (None, None), (7, ""), (7, "")]
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("most", [1_000_000, 0])
+def test_jaccard_moves_neither_texts_nor_columns(spark, monkeypatch, most):
+    """What goes is left out by its keys, broadcast up to a bound; beyond it the rows are the same. The copies of a class take their
+    columns nowhere."""
+    table = spark.createDataFrame(near_rows(), "doc_id bigint, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", most)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables of the size of a corpus
+    written = {}
+    keep = jaccard_join.materialize
+
+    def noted(df, name="table"):
+        written[name] = df
+        return keep(df, name)
+
+    monkeypatch.setattr(jaccard_join, "materialize", noted)
+    try:
+        kept = jaccard_join.keep_one(table)
+        plan = kept._jdf.queryExecution().optimizedPlan().toString()
+        got = sorted(kept.collect(), key=str)
+        if most:
+            assert "strategy=broadcast" in plan
+            physical = written["columns"]._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" not in physical
+        assert "_entered" not in written["classes"].columns
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == len({str(r) for r in got})
+    groups = jaccard_join.near_groups(table).collect()
+    best = {}
+    for r in groups:
+        now = (r.doc_id is None, r.doc_id or 0, r._no)
+        if r._root not in best or now < best[r._root][0]:
+            best[r._root] = (now, (r._row, r._mark))
+    keys = {k for _, k in best.values()}
+    assert len(got) == len(keys)
+
+
+def test_jaccard_removes_what_it_wrote(spark):
+    from plainread.session import recorded
+
+    table = spark.createDataFrame(near_rows(), "doc_id bigint, text string")
+    with recorded() as outer, recorded() as paths:
+        groups = jaccard_join.near_groups(table)
+    assert outer == paths
+    left = [p.rsplit("/", 1)[1].split("-")[0] for p in paths if os.path.exists(p.removeprefix("file:"))]
+    assert "columns" not in left and "meetings" not in left and "members" not in left and "incidence" in left
+    assert groups.count() == table.count()
+
+
 def test_jaccard_blocks(spark, monkeypatch):
     """Blocks of a few documents give what one block gives."""
     base = words(41, 60).split()
